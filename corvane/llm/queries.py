@@ -19,6 +19,7 @@ def _lazy(module: str, name: str):
 
 
 MODULES = {
+    "minhash": ("p1_found", "p1_groups"),
     "plain": ("p5_found", "p5_plain"),
 }
 QUERIES = {name: _lazy(module, name) for module, names in MODULES.items() for name in names}
