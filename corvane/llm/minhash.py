@@ -1,9 +1,10 @@
 """Problem 1: near-duplicate records by b-bit MinHash.
 
-Each text's set of 4-character runs (of its reduced plain form) is hashed by K functions; of each minimum only the low 8 bits
-are kept, packed into one K-byte signature. Bands of four packed bytes give candidate pairs; the share of equal bytes,
-corrected for chance collisions, drops candidates far below the threshold; an exact comparison of the sets decides.
-Groups are the connected components of the pairs that are left.
+Each text's set of 4-character runs (of its reduced plain form) is hashed by K functions. Of each minimum only low bits are
+kept: 8 of them in the bands of four functions that give candidate pairs, one of each function packed into a 64-bit
+signature that travels with the bands. Within a bucket the share of equal bits, corrected for chance collisions, drops
+candidates far below the threshold; an exact comparison of the sets decides on the rest. Groups are the connected
+components of the pairs that are left.
 
 Texts are worked on by a 64-bit hash of their reduced form, so exact copies are one text from the start, whatever their
 number: a task emits a text's bands once. Buckets of different texts are streamed in sorted order; one that exceeds
@@ -20,16 +21,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm.plain import reduced
+from corvane.llm.plain import reduce_text
 from corvane.operators.graph import components
 from corvane.session import ship, stage, table
 
 RUN, MIN_CHARS = 4, 40
 K, ROWS, BANDS = 64, 4, 24
-#: Candidates whose corrected estimate is further below the threshold than this are dropped: over three standard deviations at K = 64.
-MARGIN = 0.2
+#: Candidates whose corrected estimate is further below the threshold than this are dropped: three standard deviations at K = 64.
+MARGIN = 0.3
 BLOCK = 512
 #: Hashes of texts that are sent to all tasks at most; beyond it Spark shuffles.
 BROADCAST_ROWS = 4_000_000
@@ -76,113 +78,101 @@ def signatures(texts: list[str]) -> np.ndarray:
     return out
 
 
-def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, reduced) -> (h, sig), each h once a task."""
+def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, reduced) -> (key, h, sketch) of every band, each h once a task."""
     seen: set[int] = set()
     for b in batches:
-        h, texts, keys = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+        h, texts, keep = b.column(0).to_pylist(), b.column(1).to_pylist(), []
         for k, x in enumerate(h):
             if x not in seen:
                 seen.add(x)
-                keys.append(k)
-        if keys:
-            sig = signatures([texts[k] for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array([h[k] for k in keys], pa.int64()), pa.FixedSizeBinaryArray.from_buffers(pa.binary(K), len(keys), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())], ["h", "sig"])
-
-
-def _matrix(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, K)
+                keep.append(k)
+        if keep:
+            sig, h = signatures([texts[k] for k in keep]), np.array([h[k] for k in keep], np.int64)
+            sketch = np.packbits(sig & 1, axis=1, bitorder="little").view(np.int64).ravel()
+            keys = [_mix(sig[:, rows].astype(np.uint64) @ (np.uint64(256) ** np.arange(ROWS, dtype=np.uint64)) + np.uint64((k + 1) << 40)).view(np.int64) for k, rows in enumerate(_BAND)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(h, BANDS)), pa.array(np.tile(sketch, BANDS))], ["key", "h", "sketch"])
 
 
-def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, sig) -> (key, h) of every band."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        sig, h = _matrix(b.column(1)), b.column(0).to_numpy()
-        keys = [_mix(sig[:, rows].astype(np.uint64) @ (np.uint64(256) ** np.arange(ROWS, dtype=np.uint64)) + np.uint64((k + 1) << 40)).view(np.int64) for k, rows in enumerate(_BAND)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(h, BANDS))], ["key", "h"])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sketch", pa.int64()), ("block", pa.int64())])
 
 
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("block", pa.int64())])
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity from one bit of each minimum, corrected for the even chance that bits of different minima agree."""
+    return 1 - np.bitwise_count((a ^ b).view(np.uint64)).astype(np.float64) * (2 / K)
 
 
-def _all_pairs(starts: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within runs of the sorted column h, run by run size."""
-    left, right = [], []
+def _all_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within runs of a sorted column, run by run size."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in np.unique(sizes):
         i, j = np.triu_indices(n, 1)
         s = starts[sizes == n][:, None]
-        left.append(h[(s + i).ravel()])
-        right.append(h[(s + j).ravel()])
-    return (np.concatenate(left), np.concatenate(right)) if left else (h[:0], h[:0])
+        left.append((s + i).ravel())
+        right.append((s + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
 
 
-def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, h), sorted within the task, -> (a, b, null): pairs of different texts in one bucket. A bucket of more than BLOCK
-    texts comes out as rows (key, h, block number) instead. Only one bucket's tail is held from batch to batch."""
-    key_tail, h_tail, spilled = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
+def pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(key, h, sketch), sorted within the task, -> (a, b, null, null): pairs of different texts in one bucket whose estimate
+    doesn't rule them out, each once a batch. A bucket of more than BLOCK texts comes out as rows (key, h, sketch, block
+    number) instead. Only one bucket's tail is held from batch to batch."""
+    none = np.zeros((3, 0), np.int64)
+    tail, spilled = none, {}
 
-    def emit(key: np.ndarray, h: np.ndarray, last: bool):
-        nonlocal key_tail, h_tail
-        if not len(key):
+    def emit(rows: np.ndarray, last: bool):
+        nonlocal tail
+        if not rows.shape[1]:
             return
-        keep = np.ones(len(key), bool)
-        keep[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-        key, h = key[keep], h[keep]
+        keep = np.ones(rows.shape[1], bool)
+        keep[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+        rows = rows[:, keep]
+        key, h, sketch = rows
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.concatenate([cut, [len(key)]]))
+        tail = none if last else rows[:, cut[-1] :]
         if not last:  # the last bucket may go on
-            key_tail, h_tail = key[cut[-1] :], h[cut[-1] :]
             cut, sizes = cut[:-1], sizes[:-1]
-        else:
-            key_tail, h_tail = key[:0], h[:0]
         big = (sizes > BLOCK) | np.isin(key[cut], np.fromiter(spilled, np.int64, len(spilled)))
         for s, n in zip(cut[big], sizes[big]):
-            yield from give(int(key[s]), h[s : s + n])
+            yield from give(rows[:, s : s + n])
         ok = ~big & (sizes > 1)
-        a, b = _all_pairs(cut[ok], sizes[ok], h)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], schema=PAIR)
-        if len(key_tail) > 4 * BLOCK:
-            k, rows = int(key_tail[0]), h_tail
-            key_tail, h_tail = key_tail[-1:], h_tail[-1:]
-            yield from give(k, rows[:-1])
-
-    def give(k: int, rows: np.ndarray):
+        i, j = _all_pairs(cut[ok], sizes[ok])
+        near = estimate(sketch[i], sketch[j]) >= threshold - MARGIN
+        if near.any():
+            both = np.unique(np.sort(np.stack([h[i[near]], h[j[near]]]), axis=0), axis=1)
+            empty = pa.nulls(both.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), empty, empty], schema=PAIR)
+        if tail.shape[1] > 4 * BLOCK:
+            rows, tail = tail[:, :-1], tail[:, -1:]
+            yield from give(rows)
+
+    def give(rows: np.ndarray):
+        k = int(rows[0, 0])
         n = spilled.get(k, 0)
         spilled.clear()  # buckets come in order, so only the current one can go on
-        spilled[k] = n + len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k)), pa.array(rows), pa.array((n + np.arange(len(rows))) // BLOCK)], schema=PAIR)
-
-    for b in batches:
-        yield from emit(np.concatenate([key_tail, b.column(0).to_numpy()]), np.concatenate([h_tail, b.column(1).to_numpy()]), False)
-    yield from emit(key_tail, h_tail, True)
+        spilled[k] = n + rows.shape[1]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array((n + np.arange(rows.shape[1])) // BLOCK)], schema=PAIR)
 
-
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity from packed signatures, corrected for the 1 in 256 chance that bytes of different minima agree."""
-    return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-
-
-def screen(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(a, b, sig_a, sig_b) -> (a, b) whose estimate doesn't rule them out."""
-    for t in batches:
-        if t.num_rows:
-            ok = estimate(_matrix(t.column(2)), _matrix(t.column(3))) >= threshold - MARGIN
-            yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(ok)), t.column(1).filter(pa.array(ok))], ["a", "b"])
+    held, size = [], 0
+    for b in batches:  # a few batches at a time, so that little is cut off
+        held.append(np.stack([c.to_numpy() for c in b.columns]))
+        size += b.num_rows
+        if size >= 200_000:
+            yield from emit(np.concatenate([tail, *held], axis=1), False)
+            held, size = [], 0
+    yield from emit(np.concatenate([tail, *held], axis=1), True)
 
 
 def block_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(h_a array, sig_a array, h_b array, sig_b array) of two blocks of a large bucket -> (a, b) that the estimate allows."""
+    """(hs, sketches, hs_b, sketches_b) of two blocks of a large bucket -> (a, b) that the estimate allows."""
     for t in batches:
-        for ha, sa, hb, sb in zip(*(c.to_pylist() for c in t.columns)):
-            ha, hb = np.array(ha, np.int64), np.array(hb, np.int64)
-            sa, sb = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, K) for s in (sa, sb))
-            for k in range(len(ha)):
-                ok = (estimate(sa[k : k + 1], sb) >= threshold - MARGIN) & (hb != ha[k])
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ha[k], hb[ok])), pa.array(np.maximum(ha[k], hb[ok]))], ["a", "b"])
+        for row in zip(*(c.to_pylist() for c in t.columns)):
+            ha, sa, hb, sb = (np.array(x, np.int64) for x in row)
+            i, j = np.nonzero((estimate(sa[:, None], sb[None]) >= threshold - MARGIN) & (ha[:, None] != hb[None]))
+            if len(i):
+                both = np.unique(np.sort(np.stack([ha[i], hb[j]]), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
 def similarity(left: list[str], right: list[str]) -> np.ndarray:
@@ -219,41 +209,45 @@ def verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 def links(texts: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(a, b, similarity): hashes of different reduced texts of `texts` (h, reduced) that are similar enough; a < b."""
     spark = texts.sparkSession
-    ship(spark)
-    signed = stage(texts.mapInArrow(sign, "h long, sig binary"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    buckets = signed.mapInArrow(bands, "key long, h long").repartition(n, "key").sortWithinPartitions("key", "h").mapInArrow(pairs, "a long, b long, block long")
-    found = stage(buckets)
-    one = signed.groupBy("h").agg(F.first("sig").alias("sig"))
-    cand = found.where("block is null").select("a", "b").distinct()
-    cand = cand.join(one.select(F.col("h").alias("a"), F.col("sig").alias("sig_a")), "a").join(one.select(F.col("h").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-    likely = cand.mapInArrow(partial(screen, threshold=threshold), "a long, b long")
-    large = found.where("block is not null").select(F.col("a").alias("key"), F.col("b").alias("h"), "block")
+    buckets = texts.mapInArrow(bands, "key long, h long, sketch long").repartition(n, "key").sortWithinPartitions("key", "h")
+    found = stage(buckets.mapInArrow(partial(pairs, threshold=threshold), "a long, b long, sketch long, block long"))
+    likely = found.where("block is null").select("a", "b")
+    large = found.where("block is not null").select(F.col("a").alias("key"), F.col("b").alias("h"), "sketch", "block")
     if not large.isEmpty():
-        blocks = stage(large.join(one, "h").groupBy("key", "block").agg(F.collect_list("h").alias("hs"), F.collect_list("sig").alias("sigs")))
-        heads = blocks.select("key", F.col("block").alias("block_b")).distinct()
-        two = blocks.join(heads, "key").where("block_b >= block").join(blocks.select("key", F.col("block").alias("block_b"), F.col("hs").alias("hs_b"), F.col("sigs").alias("sigs_b")), ["key", "block_b"])
-        likely = likely.unionByName(two.select("hs", "sigs", "hs_b", "sigs_b").repartition(n).mapInArrow(partial(block_pairs, threshold=threshold), "a long, b long")).distinct()
-    likely = stage(likely)
+        blocks = stage(large.groupBy("key", "block").agg(F.collect_list("h").alias("hs"), F.collect_list("sketch").alias("ss")))  # BLOCK rows each
+        heads = blocks.select("key", F.col("block").alias("block_b"))
+        other = blocks.select("key", F.col("block").alias("block_b"), F.col("hs").alias("hs_b"), F.col("ss").alias("ss_b"))
+        two = blocks.join(heads, "key").where("block_b >= block").join(other, ["key", "block_b"]).select("hs", "ss", "hs_b", "ss_b")
+        likely = likely.unionByName(two.repartition(n).mapInArrow(partial(block_pairs, threshold=threshold), "a long, b long"))
+    likely = stage(likely.distinct())
     ends = stage(likely.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     if ends.count() <= BROADCAST_ROWS:
         ends = F.broadcast(ends)
-    held = texts.join(ends, "h", "left_semi").groupBy("h").agg(F.first("reduced").alias("reduced"))
+    held = stage(texts.join(ends, "h", "left_semi").groupBy("h").agg(F.first("reduced").alias("reduced")))
     both = likely.join(held.select(F.col("h").alias("a"), F.col("reduced").alias("text_a")), "a").join(held.select(F.col("h").alias("b"), F.col("reduced").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(partial(verify, threshold=threshold), "a long, b long, similarity double")
 
 
-def hashed(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, h, reduced) of the rows whose text has a similarity."""
-    return df.select(*keys, reduced(text).alias("reduced")).where(F.length("reduced") >= MIN_CHARS).select(*keys, F.xxhash64("reduced").alias("h"), "reduced")
+def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (key, h, reduced) of the texts that have a similarity."""
+    for b in batches:
+        rows = [(k, reduce_text(t)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and len(t) >= MIN_CHARS]
+        rows = [(k, np.uint64(xxhash.xxh64_intdigest(r)).astype(np.int64), r) for k, r in rows if len(r) >= MIN_CHARS]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.column(0).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["key", "h", "reduced"])
+
+
+def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, h, reduced) of the rows whose text has a similarity, as a staged table; the key is a string."""
+    return stage(df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").mapInArrow(prepare, "key string, h long, reduced string"))
 
 
 def groups(df: DataFrame, key: str, text: str, threshold: float = 0.6) -> DataFrame:
     """(key, group): the group of every row key that shares its group with another; groups are closed under similarity."""
     ship(df.sparkSession)
-    base = hashed(df.where(F.col(key).isNotNull()), [key], text)
+    base = hashed(df, key, text)
     comp = components(links(base.select("h", "reduced"), threshold))
-    ids = base.select(key, "h").distinct()
+    ids = base.select(F.col("key").alias(key), "h").distinct()
     grouped = ids.join(comp.withColumnRenamed("node", "h"), "h", "left").select(key, F.coalesce("component", "h").alias("group"))
     several = grouped.groupBy("group").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("group")
     return grouped.join(several, "group").select(key, "group").distinct()

@@ -123,6 +123,29 @@ def plain_text(text: str, chosen: dict[str, str] | None = None) -> str:
     return _WORD.sub(lambda m: (chosen or {}).get(m[0]) or readings(m[0])[0], squash(text)).replace("ӏ", PALOCHKA)
 
 
+#: Letters that plain texts of one script are made of; texts of other characters are looked at closely.
+_SAFE = [frozenset(chr(c) for c in (*range(32, 127), 9, 10, 13, 0xA7, 0xAB, 0xBB, *range(0x2010, 0x2028), *range(0xC0, 0x180), 0x194, 0x263, *range(0x1E00, 0x1F00)) if chr(c) not in {"|"}),
+         frozenset(chr(c) for c in (*range(32, 65), *range(91, 97), 9, 10, 13, 0xA7, 0xAB, 0xBB, *range(0x2010, 0x2028), *range(0x410, 0x450), 0x401, 0x451, 0x4C0) if chr(c) not in "1")]
+
+
+def is_plain(text: str) -> bool:
+    """Whether the characters alone show that a text is in plain form; False says nothing."""
+    held = set(text)
+    return held <= _SAFE[1] or held <= _SAFE[0]
+
+
+def reduce_text(text: str) -> str:
+    """The reduced form of one text; see `reduced`."""
+    if is_plain(text):
+        text = text.lower()
+    else:
+        text = plain_text(text).lower()
+    return _RUNS.sub(" ", text.replace("ӏ", PALOCHKA)).strip()
+
+
+_RUNS = regex.compile(r"[^\p{L}\p{Nd}]+")
+
+
 @F.pandas_udf(T.StringType())
 def _plain_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else plain_text(x))
