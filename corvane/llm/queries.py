@@ -21,6 +21,7 @@ def _lazy(module: str, name: str):
 MODULES = {
     "minhash": ("p1_found", "p1_groups"),
     "plain": ("p5_found", "p5_plain"),
+    "votes": ("p3_found", "p3_consensus", "p3_reliability"),
     "splits": ("p4_found", "p4_assignment", "p4_shares"),
 }
 QUERIES = {name: _lazy(module, name) for module, names in MODULES.items() for name in names}
