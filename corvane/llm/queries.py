@@ -20,6 +20,7 @@ def _lazy(module: str, name: str):
 
 MODULES = {
     "minhash": ("p1_found", "p1_groups"),
+    "overlap": ("p2_found", "p2_counterparts", "p2_counts"),
     "plain": ("p5_found", "p5_plain"),
     "votes": ("p3_found", "p3_consensus", "p3_reliability"),
     "splits": ("p4_found", "p4_assignment", "p4_shares"),
