@@ -30,8 +30,8 @@ from corvane.session import ship, stage, table
 
 RUN, MIN_CHARS = 4, 40
 K, ROWS, BANDS = 64, 4, 24
-#: Candidates whose corrected estimate is further below the threshold than this are dropped: three standard deviations at K = 64.
-MARGIN = 0.3
+#: Candidates whose corrected estimate is further below the threshold than this are dropped: two and a half standard deviations at K = 64.
+MARGIN = 0.25
 BLOCK = 512
 #: Hashes of texts that are sent to all tasks at most; beyond it Spark shuffles.
 BROADCAST_ROWS = 4_000_000
@@ -246,7 +246,7 @@ def groups(df: DataFrame, key: str, text: str, threshold: float = 0.6) -> DataFr
     """(key, group): the group of every row key that shares its group with another; groups are closed under similarity."""
     ship(df.sparkSession)
     base = hashed(df, key, text)
-    comp = components(links(base.select("h", "reduced"), threshold))
+    comp = components(stage(links(base.select("h", "reduced"), threshold)))
     ids = base.select(F.col("key").alias(key), "h").distinct()
     grouped = ids.join(comp.withColumnRenamed("node", "h"), "h", "left").select(key, F.coalesce("component", "h").alias("group"))
     several = grouped.groupBy("group").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("group")
