@@ -21,6 +21,8 @@ def _lazy(module: str, name: str):
 MODULES = {
     "garble": ("p9_found", "p9_restored"),
     "language": ("p6_found", "p6_parts"),
+    "mixing": ("p8_mix", "p8_shares"),
+    "tokens": ("p7_ids",),
     "minhash": ("p1_found", "p1_groups"),
     "overlap": ("p2_found", "p2_counterparts", "p2_counts"),
     "plain": ("p5_found", "p5_plain"),
