@@ -1 +1 @@
-
+"""Package operators."""

@@ -1 +1 @@
-
+"""Package plans."""

@@ -1 +1 @@
-
+"""Package sources."""

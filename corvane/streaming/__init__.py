@@ -1 +1 @@
-
+"""Package streaming."""
