@@ -1 +1,3 @@
-"""Package plans."""
+"""All core queries."""
+
+from corvane.plans import sources  # noqa: F401
