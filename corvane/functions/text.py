@@ -17,6 +17,11 @@ def col(c: ColumnOr) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with `value` worked out once; written out in a lambda it would be worked out for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _former(form: str):
     @F.pandas_udf(T.StringType())
     def apply(s: pd.Series) -> pd.Series:
@@ -162,7 +167,7 @@ def sentences(c: ColumnOr, most: int = 40) -> Column:
 def is_heading(c: ColumnOr) -> Column:
     """At most 90 characters, not empty, no closing mark."""
     t = F.trim(F.coalesce(col(c), F.lit("")))
-    return (t != "") & (F.length(t) <= 90) & ~t.rlike(r"[.!?…]$")
+    return (t != "") & (F.length(t) <= 90) & ~t.rlike(r"[.!?…]\z")
 
 
 def number_tokens(c: ColumnOr, most: int = 400) -> Column:
@@ -172,7 +177,10 @@ def number_tokens(c: ColumnOr, most: int = 400) -> Column:
 
 def shingle_sketch(toks: Column, n: int = 5, size: int = 512) -> Column:
     """The `size` smallest 32-bit hashes of the runs of n words; empty for fewer than n words."""
-    return F.when(F.size(toks) >= n, F.slice(F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: hash32(F.array_join(F.slice(toks, i, n), " "))))), 1, size)).otherwise(F.array().cast("array<long>"))
+    def hashes(k: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(k) - (n - 1)), lambda i: hash32(F.array_join(F.slice(k, i, n), " ")))
+
+    return let(toks, lambda k: F.when(F.size(k) >= n, F.slice(F.array_sort(F.array_distinct(hashes(k))), 1, size)).otherwise(F.array().cast("array<long>")))
 
 
 def sketch_jaccard(a: ColumnOr, b: ColumnOr, size: int = 512) -> Column:
