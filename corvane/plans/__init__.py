@@ -1,3 +1,3 @@
 """All core queries."""
 
-from corvane.plans import intelligence, sources, texts  # noqa: F401
+from corvane.plans import exchange, intelligence, sources, texts  # noqa: F401
