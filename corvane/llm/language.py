@@ -188,7 +188,9 @@ def parts(texts: DataFrame, samples: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     ship(spark)
     rows = samples.where("lang is not null and sample_text is not null").orderBy("sample_id", "lang", "sample_text").limit(MAX_SAMPLES).collect()
-    held = spark.sparkContext.broadcast(pickle.dumps(LanguageCodes([(r.lang, r.sample_text) for r in rows])))
+    model = LanguageCodes([(r.lang, r.sample_text) for r in rows])
+    texts = texts if model.langs else texts.limit(0)  # without a sample there is no language to find
+    held = spark.sparkContext.broadcast(pickle.dumps(model))
     schema = "id string, code string, first_word int, n_words int, lang string, confidence double, ambiguous boolean"
     return texts.select(F.col("id").cast("string").alias("id"), F.col("code").cast("string").alias("code"), "text").where("text is not null").mapInArrow(_labeller(held), schema)
 
