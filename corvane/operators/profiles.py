@@ -63,7 +63,7 @@ def bands(sketch: Column, n: int = 8) -> Column:
 def family(path: Column) -> Column:
     """title: the file name without endings and numbers, unless that says nothing; then folder:, then path:."""
     stem = F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
-    root = F.regexp_replace(stem, r"([-_ ]*([0-9]+|copy|final|draft|v[0-9]+))+$", "")
+    root = F.regexp_replace(stem, r"([-_ ]*([0-9]+[a-z]?|copy|final|draft|v[0-9]+))+$", "")
     folder = F.try_element_at(F.split(path, "/"), F.lit(-2))
     return F.when((F.length(root) >= 4) & ~root.isin("text", "document", "file", "scan", "page"), F.concat(F.lit("title:"), root)).when(folder != "", F.concat(F.lit("folder:"), F.lower(folder))).otherwise(F.concat(F.lit("path:"), F.lower(path)))
 
