@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from corvane.functions import russian as RU
 from corvane.operators import lexicon as L, relational as R
 from corvane.plans.registry import query
-from corvane.session import shared_dir, ship, stage, table as t
+from corvane.session import scratch, ship, stage, table as t
 from corvane.sources import files as S
 from corvane.streaming import ingest as I
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/corvane-files/{uuid.uuid4().hex}"
-
-
 @query("SC3_overlay", "select d.id, s.title as source_title from corpus_documents d left join corpus_sources s on s.id = d.source_id")
 def sc3(spark, d):
     docs = t(spark, d, "corpus_documents").select("id", "source_id")
@@ -28,14 +22,14 @@ def sc3(spark, d):
 
 @query("SC5_jsonl_round_trip", "select id, prompt_ru, lak_text, priority::bigint as priority, is_gold from gold_set")
 def sc5(spark, d):
-    path = _folder(spark)
+    path = scratch(spark)
     S.write_jsonl(t(spark, d, "gold_set").select("id", "prompt_ru", "lak_text", F.col("priority").cast("long").alias("priority"), "is_gold"), path)
     return S.read_jsonl(spark, path, "id string, prompt_ru string, lak_text string, priority long, is_gold boolean", ("id",))[0]
 
 
 @query("SC6_gzip_round_trip", "select record_id, lak_cyrillic, license from pcmlbe_parallel where lak_cyrillic is not null")
 def sc6(spark, d):
-    path = _folder(spark)
+    path = scratch(spark)
     S.write_jsonl(t(spark, d, "pcmlbe_parallel").select("record_id", "lak_cyrillic", "license"), path, gz=True)
     return S.read_jsonl(spark, path, "record_id string, lak_cyrillic string, license string", ("record_id", "lak_cyrillic"))[0]
 
@@ -47,7 +41,7 @@ def sc7(spark, d):
 
 @query("SK1_json_export", "select count(*) as lines from corpus_sources")
 def sk1(spark, d):
-    path = _folder(spark)
+    path = scratch(spark)
     t(spark, d, "corpus_sources").write.json(path)
     return spark.read.text(path).agg(F.count("*").alias("lines"))
 
@@ -70,21 +64,21 @@ def sk4(spark, d):
 
 @query("SK5_split_export", "select case split when 'dev' then 'validation' else split end as part, count(*) as n from parallel_pairs where split in ('train', 'dev', 'test') group by 1")
 def sk5(spark, d):
-    path = _folder(spark)
+    path = scratch(spark)
     S.by_split(t(spark, d, "parallel_pairs").select("id", "split", "ru_text", "lak_text"), "split", {"train": "train", "dev": "validation", "test": "test"}).write.partitionBy("part").parquet(path)
     return spark.read.parquet(path).groupBy(F.col("part").cast("string").alias("part")).agg(F.count("*").alias("n"))
 
 
 @query("SK6_artifacts", "select 'sources' as name, count(*) as rows from corpus_sources union all select 'documents', count(*) from corpus_documents")
 def sk6(spark, d):
-    m = S.write_artifacts({"sources": t(spark, d, "corpus_sources"), "documents": t(spark, d, "corpus_documents")}, _folder(spark))
+    m = S.write_artifacts({"sources": t(spark, d, "corpus_sources"), "documents": t(spark, d, "corpus_documents")}, scratch(spark))
     return m.select("name", "rows")
 
 
 @query("SK8_resumable_ingest", "select count(*) as rows, count(distinct id) as ids from (select distinct id from segments)")
 def sk8(spark, d):
     """A file stream taken in with a checkpoint; a second run finds nothing new."""
-    path = _folder(spark)
+    path = scratch(spark)
     src = t(spark, d, "segments").select("id", "document_id", "text_original", "imported_at")
     src.repartition(4).write.parquet(f"{path}/in")
     for _ in range(2):
@@ -100,7 +94,7 @@ def sk10(spark, d):
 @query("ST1_windowed_counts", "select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n from events group by 1, 2")
 def st1(spark, d):
     """Tumbling windows over the event stream; the watermark lets all late rows of this replay in, and a last row far ahead closes every window."""
-    path = _folder(spark)
+    path = scratch(spark)
     e = t(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     e.write.parquet(f"{path}/in")
     e.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).select("ts", F.lit("end").alias("event_type")).write.parquet(f"{path}/end")

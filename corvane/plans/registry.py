@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from corvane.session import ship
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -12,7 +16,13 @@ def query(name: str, sql: str | None = None):
     def add(f):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = f
+
+        @wraps(f)
+        def run(spark, sf_dir):
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql
         return f

@@ -61,12 +61,18 @@ def stage(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back: lineage is cut, sizes are known to the planner,
     and the table survives the loss of executors. The files go when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane-{os.getpid()}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _remove_at_exit(spark, path.rpartition("/")[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str | None = None) -> str:
+    """A path of this driver in the shared folder, new unless named; what lies there goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/corvane-{os.getpid()}"
+    _remove_at_exit(spark, folder)
+    return f"{folder}/{name or uuid.uuid4().hex}"
+
+
 _folders: set[str] = set()
 
 
