@@ -16,6 +16,7 @@ from __future__ import annotations
 import itertools
 import pickle
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from corvane.session import ship, table
 MAX_SAMPLES = 5000
 ORDERS, BITS, ALPHA = (1, 2, 3, 4), 15, 0.3
 SWITCH, CLIP, MIN_WORDS = 6.0, 4.0, 5
+#: How much less likely a bordering word may be in a part's language to count for it.
+BORDER = 5.0
 #: Parts whose mean loss is this near to the next language's are flagged as ambiguous.
 AMBIGUOUS = 0.5
 CACHE = 300_000
@@ -153,6 +156,17 @@ class LanguageCodes:
         return out
 
 
+def widened(loss: np.ndarray, part: tuple[int, int, int]) -> tuple[int, int, int]:
+    """A part one word short of MIN_WORDS takes in a bordering word that is hardly less likely in its language: names at a
+    border belong to either side."""
+    a, b, lang = part
+    if b - a == MIN_WORDS - 1:
+        near = [(float(loss[k, lang] - loss[k].min()), k) for k in (a - 1, b) if 0 <= k < len(loss)]
+        if near and min(near)[0] <= BORDER:
+            return (min(near)[1], b, lang) if min(near)[1] < a else (a, b + 1, lang)
+    return part
+
+
 SCHEMA = pa.schema([("id", pa.string()), ("code", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("ambiguous", pa.bool_())])
 
 
@@ -169,7 +183,7 @@ def _labeller(held):
                 losses = model.lookup([words[k] for k in block])
                 for k, loss, parts in zip(block, losses, model.parts(losses)):
                     loss = model.by_language(loss)
-                    long = [p for p in parts if p[1] - p[0] >= MIN_WORDS]
+                    long = [p for p in map(partial(widened, loss), parts) if p[1] - p[0] >= MIN_WORDS]
                     if not long and len(loss):
                         clipped = np.minimum(loss - loss.min(axis=1, keepdims=True), CLIP).sum(axis=0)
                         long = [(0, len(loss), int(clipped.argmin()))]
