@@ -95,12 +95,25 @@ def streaks(days: DataFrame, key: str, day: str) -> DataFrame:
     return d.withColumn("island", F.date_sub("d", n)).groupBy(key, "island").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("days")).drop("island")
 
 
-def bursts(df: DataFrame, key: str, ts: str, seconds: int, order: str) -> DataFrame:
-    """Each row with `recent`: earlier rows of its key within the last `seconds`, itself not among them, and `since` the one before in seconds."""
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = W.partitionBy(key).orderBy("_t")
-    before = F.lag("_t").over(W.partitionBy(key).orderBy("_t", order))
-    return df.withColumn("_t", t).withColumn("recent", F.count("*").over(w.rangeBetween(-seconds * 1_000_000, 0)) - 1).withColumn("since", (F.col("_t") - before) / 1e6).drop("_t")
+def bursts(df: DataFrame, key: str, ts: str, seconds: int, order: str, slice_seconds: int = 3600) -> DataFrame:
+    """Each row with `recent`: earlier rows of its key within the last `seconds`, itself not among them, and `since` the one before in seconds.
+
+    A key's rows are worked on by slices of time, each with the last `seconds` of the slice before it, so that a key with
+    most of the rows isn't one task; what precedes a slice is known from the slices' last times. Rows without a time have
+    no place in the order: their results are null.
+    """
+    width = max(seconds, slice_seconds) * 1_000_000
+    rows = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_b", F.floor(F.col("_t") / width))
+    carried = rows.where(F.col("_t") >= (F.col("_b") + 1) * width - seconds * 1_000_000).select(key, order, "_t", (F.col("_b") + 1).alias("_b"), F.lit(True).alias("_carried"))
+    last = rows.groupBy(key, "_b").agg(F.max("_t").alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(W.partitionBy(key).orderBy("_b"))).drop("_last")  # a row per slice with rows
+    w = W.partitionBy(key, "_b").orderBy("_t")
+    before = F.lag("_t").over(W.partitionBy(key, "_b").orderBy("_t", order))
+    all_ = rows.unionByName(carried, allowMissingColumns=True).withColumn("recent", F.count("*").over(w.rangeBetween(-seconds * 1_000_000, 0)) - 1).withColumn("_p", before).where("_carried is null")
+    known = last.withColumnRenamed(key, "_k").withColumnRenamed("_b", "_lb")
+    out = all_.join(known, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_lb")), "left")
+    timed = F.col("_t").isNotNull()
+    return out.select(*df.columns, F.when(timed, F.col("recent")).alias("recent"), ((F.col("_t") - F.coalesce("_p", "_before")) / 1e6).alias("since"))
 
 
 def reliability(events: DataFrame, key: str, order: list[Column], outcome: str, weight: str, last: int = 100, prior: float = 5.0) -> DataFrame:

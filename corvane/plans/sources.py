@@ -305,11 +305,12 @@ def w1(spark, d):
     return R.top_each(rows, ["document_id"], [F.asc_nulls_last("paragraph"), F.asc_nulls_last("ordinal"), F.col("id"), F.col("imported_at")], 120).select("document_id", "id", F.col("rank").alias("n"))
 
 
-@query("W2_running_length", "select document_id, id from (select document_id, id, coalesce(sum(length(text_original)) over (partition by document_id order by ordinal, id, content_hash rows between unbounded preceding and 1 preceding), 0) as before from (select distinct document_id, id, ordinal, content_hash, text_original from segments)) where before < 4000")
+@query("W2_running_length", "select document_id, id from (select document_id, id, coalesce(sum(length(text_original)) over (partition by document_id order by n rows between unbounded preceding and 1 preceding), 0) as before from (select document_id, id, text_original, row_number() over (partition by document_id order by ordinal nulls first, id, content_hash) as n from (select distinct document_id, id, ordinal, content_hash, text_original from segments)) where n <= 120) where before < 4000")
 def w2(spark, d):
-    w = W.partitionBy("document_id").orderBy("ordinal", "id", "content_hash").rowsBetween(W.unboundedPreceding, -1)
     rows = t(spark, d, "segments").select("document_id", "id", "ordinal", "content_hash", "text_original").distinct()
-    return rows.withColumn("before", F.coalesce(F.sum(F.length("text_original")).over(w), F.lit(0))).where("before < 4000").select("document_id", "id")
+    first = R.top_each(rows, ["document_id"], [F.col("ordinal"), F.col("id"), F.col("content_hash")], 120)  # so a window holds 120 rows at most
+    w = W.partitionBy("document_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    return first.withColumn("before", F.coalesce(F.sum(F.length("text_original")).over(w), F.lit(0))).where("before < 4000").select("document_id", "id")
 
 
 @query("W3_page_with_total", "select id, title, total from (select id, title, count(*) over () as total from corpus_documents) order by id limit 25 offset 50")
@@ -346,9 +347,9 @@ def w7(spark, d):
     return R.bursts(t(spark, d, "events"), "user_id", "ts", 300, "event_id").select("event_id", "recent")
 
 
-@query("W8_minimum_interval", "select event_id from (select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap from events) where gap < 5000000")
+@query("W8_minimum_interval", "select event_id from (select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap from events) where gap < 600000000")
 def w8(spark, d):
-    return R.bursts(t(spark, d, "events"), "user_id", "ts", 300, "event_id").where("since < 5").select("event_id")
+    return R.bursts(t(spark, d, "events"), "user_id", "ts", 300, "event_id").where("since < 600").select("event_id")
 
 
 @query("W9_daily_place", "select id, row_number() over (partition by contributor_id, created_at::date order by created_at, id, loaded_at) as place from (select distinct id, contributor_id, created_at, loaded_at from validation_votes)")

@@ -179,6 +179,14 @@ def test_streaks_bursts_and_reliability(spark):
     e = spark.createDataFrame([("u", k, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=40 * k)) for k in range(12)], "k string, n int, t timestamp")
     got = {r.n: (r.recent, r.since) for r in R.bursts(e, "k", "t", 300, "n").collect()}
     assert got[0] == (0, None) and got[3] == (3, 40.0) and got[11] == (7, 40.0)
+    rng = random.Random(9)
+    many = [(rng.choice("uv"), k, rng.randint(0, 40_000)) for k in range(600)]
+    e = spark.createDataFrame([(k, n, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)) for k, n, s in many] + [(None, 900, None)], "k string, n int, t timestamp")
+    got = {r.n: (r.recent, r.since) for r in R.bursts(e, "k", "t", 300, "n").collect()}
+    for k, n, s in many:
+        prior = [x for j, m, x in many if j == k and (x, m) < (s, n)]
+        assert got[n] == (sum(j == k and s - 300 <= x <= s and m != n for j, m, x in many), s - max(prior) if prior else None)
+    assert got[900] == (None, None)
     v = spark.createDataFrame([("u", k, 1.0, 1.0) for k in range(150)], "k string, n int, o double, w double")
     r = R.reliability(v, "k", [F.desc("n")], "o", "w").first()
     assert r.n == 100 and r.score == 0.976
