@@ -33,6 +33,8 @@ K, ROWS, BANDS = 64, 4, 24
 #: Candidates whose corrected estimate is further below the threshold than this are dropped: two and a half standard deviations at K = 64.
 MARGIN = 0.25
 BLOCK = 512
+#: Pairs of small buckets that are held in memory at once, about.
+PAIRS_AT_ONCE = 1_000_000
 #: Hashes of texts that are sent to all tasks at most; beyond it Spark shuffles.
 BROADCAST_ROWS = 4_000_000
 
@@ -137,12 +139,16 @@ def pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
         for s, n in zip(cut[big], sizes[big]):
             yield from give(rows[:, s : s + n])
         ok = ~big & (sizes > 1)
-        i, j = _all_pairs(cut[ok], sizes[ok])
-        near = estimate(sketch[i], sketch[j]) >= threshold - MARGIN
-        if near.any():
-            both = np.unique(np.sort(np.stack([h[i[near]], h[j[near]]]), axis=0), axis=1)
-            empty = pa.nulls(both.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), empty, empty], schema=PAIR)
+        starts, sizes = cut[ok], sizes[ok]
+        made = np.cumsum(sizes * (sizes - 1) // 2)
+        ends = np.unique(np.append(np.searchsorted(made, np.arange(PAIRS_AT_ONCE, made[-1] + 1, PAIRS_AT_ONCE)) + 1, len(made))) if len(made) else []
+        for a, b in zip([0, *ends[:-1]], ends):
+            i, j = _all_pairs(starts[a:b], sizes[a:b])
+            near = estimate(sketch[i], sketch[j]) >= threshold - MARGIN
+            if near.any():
+                both = np.unique(np.sort(np.stack([h[i[near]], h[j[near]]]), axis=0), axis=1)
+                empty = pa.nulls(both.shape[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), empty, empty], schema=PAIR)
         if tail.shape[1] > 4 * BLOCK:
             rows, tail = tail[:, :-1], tail[:, -1:]
             yield from give(rows)

@@ -129,9 +129,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 def _searcher(held, threshold: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h_eval, index = pickle.loads(held.value)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part for whole in batches for part in (whole.slice(at, 2000) for at in range(0, whole.num_rows, 2000))):
             h, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
             c = index.candidates(texts)
             if c.shape[1]:

@@ -372,3 +372,16 @@ def test_every_query_runs(spark):
         df = f(spark, SF)
         assert df.columns and df.count() >= 0, name
     assert regex.match(r"p\d_", name)
+
+
+def test_many_buckets_of_pairs_come_out_whole(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(minhash, "PAIRS_AT_ONCE", 50)
+    rng = random.Random(8)
+    rows = sorted((k, rng.randint(1, 10**6)) for k in range(60) for _ in range(rng.randint(1, 14)))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.array(np.zeros(len(part), np.int64))], ["key", "h", "sketch"]) for part in (rows[:100], rows[100:101], rows[101:])]
+    got = {(a, b) for out in minhash.pairs(iter(batches), 0.6) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    want = {(min(a, b), max(a, b)) for (k, a), (m, b) in itertools.combinations(rows, 2) if k == m and a != b}
+    assert got == want
