@@ -23,13 +23,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm.minhash import hashed, similarity
+from corvane.llm.minhash import hashed, runs, similarity
 from corvane.llm.splits import effective_splits
 from corvane.session import ship, stage, table
 
 SEED, SHARE = 12, 0.05
-#: Characters of a shard; an index takes about 25 bytes for each of 100 symbols in use.
-SHARD_CHARS = 1_000_000
+#: Characters of a shard; an index takes about 19 bytes a character where 100 symbols are in use.
+SHARD_CHARS = 2_000_000
+#: Runs of SHORT characters of a shard are marked in a bitmap of 2^SEEN_BITS, so that most places need no search.
+SHORT, SEEN_BITS = 10, 25
 #: Hits that are expanded at once.
 EXPAND = 4_000_000
 
@@ -39,6 +41,9 @@ class FullTextIndex:
 
     def __init__(self, texts: list[str]) -> None:
         self.texts = texts
+        self.seen = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
+        h = runs(texts, SHORT)[0] >> np.uint64(64 - SEEN_BITS)
+        np.bitwise_or.at(self.seen, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
         n = np.fromiter(map(len, texts), np.int64, len(texts))
         code = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.symbols = np.unique(code)
@@ -73,12 +78,26 @@ class FullTextIndex:
         w, r = i >> 6, (i & 63).astype(np.uint64)
         return self.before[c, w].astype(np.int64) + np.bitwise_count(self.bits[c, w] & ((np.uint64(1) << r) - np.uint64(1)))
 
-    def occurrences(self, code: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(end, lo, hi): the intervals of all runs of `length` characters of `code` that occur; `first` is where the text of each place begins."""
+    def possible(self, texts: list[str], first: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+        """Whether the short runs at the beginning, in the middle and at the end of the run that ends at each place may occur; a bitmap of hashes says so."""
+        h, offsets = runs(texts, SHORT)
+        h >>= np.uint64(64 - SEEN_BITS)
+        here = np.zeros(len(first), bool)
+        size = np.diff(offsets)
+        begin = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) - np.fromiter(map(len, texts), np.int64, len(texts))
+        here[np.arange(len(h)) + np.repeat(begin - offsets[:-1], size)] = (self.seen[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
+        a, b = length - 1, SHORT - 1
+        return here[end - a] & here[end - b] & here[end - (a + b) // 2]
+
+    def occurrences(self, texts: list[str], code: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, lo, hi): the intervals of all runs of `length` characters of the texts that occur; `code` are their characters,
+        `first` is where the text of each place begins."""
         sym = np.searchsorted(self.symbols, code)
         known = sym < len(self.symbols)
         known[known] = self.symbols[sym[known]] == code[known]
         end = np.flatnonzero(np.arange(len(code)) - first >= length - 1)
+        if length >= SHORT:
+            end = end[self.possible(texts, first, end, length)]
         lo, hi = np.zeros(len(end), np.int64), np.full(len(end), len(self.doc), np.int64)
         for k in range(length):
             ok = known[end - k]
@@ -95,7 +114,7 @@ class FullTextIndex:
         code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         text = np.repeat(np.arange(len(texts)), n)
         first = np.repeat(np.cumsum(n) - n, n)
-        end, lo, hi = self.occurrences(code, first, length)
+        end, lo, hi = self.occurrences(texts, code, first, length)
         out = [np.zeros((5, 0), np.int64)]
         if len(end):
             width = np.cumsum(hi - lo)
