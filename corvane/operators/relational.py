@@ -44,7 +44,7 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def top_each(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each key with their rank. Spark prunes to n rows a key before the shuffle."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 50, most: int = 200, clamp: bool = True) -> DataFrame:

@@ -355,7 +355,7 @@ def w8(spark, d):
 @query("W9_daily_place", "select id, row_number() over (partition by contributor_id, created_at::date order by created_at, id, loaded_at) as place from (select distinct id, contributor_id, created_at, loaded_at from validation_votes)")
 def w9(spark, d):
     rows = t(spark, d, "validation_votes").select("id", "contributor_id", "created_at", "loaded_at").distinct()
-    return rows.select("id", F.row_number().over(W.partitionBy("contributor_id", F.to_date("created_at")).orderBy("created_at", "id", "loaded_at")).alias("place"))
+    return rows.select("id", F.row_number().over(W.partitionBy("contributor_id", F.to_date("created_at")).orderBy("created_at", "id", "loaded_at")).cast("long").alias("place"))
 
 
 @query("W10_latest_n", "select contributor_id, id, n from (select contributor_id, id, row_number() over (partition by contributor_id order by created_at desc, id desc, loaded_at desc) as n from (select distinct contributor_id, id, created_at, loaded_at from validation_votes)) where n <= 5")
@@ -372,7 +372,7 @@ def l2(spark, d):
 @query("L4_catalogue_order", "select row_number() over (order by (author is null), author, id) as place, id, author from corpus_documents")
 def l4(spark, d):
     docs = t(spark, d, "corpus_documents").select("id", "author")  # a table of fixed size
-    return docs.select(F.row_number().over(W.orderBy(F.col("author").isNull(), F.asc_nulls_last("author"), "id")).alias("place"), "id", "author")
+    return docs.select(F.row_number().over(W.orderBy(F.col("author").isNull(), F.asc_nulls_last("author"), "id")).cast("long").alias("place"), "id", "author")
 
 
 @query("L5_form_sorts", "with w as (select source, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as form from documents) select form, count(distinct source) as sources, count(*) as occurrences from w group by 1 order by sources desc, occurrences desc, form limit 100")
