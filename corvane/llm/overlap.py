@@ -29,7 +29,7 @@ from corvane.session import ship, stage, table
 
 SEED, SHARE = 12, 0.05
 #: Characters of a shard; an index takes about 19 bytes a character where 100 symbols are in use.
-SHARD_CHARS = 2_000_000
+SHARD_CHARS = 1_000_000
 #: Runs of SHORT characters of a shard are marked in a bitmap of 2^SEEN_BITS, so that most places need no search.
 SHORT, SEEN_BITS = 10, 25
 #: Hits that are expanded at once.
@@ -141,13 +141,18 @@ class FullTextIndex:
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.drop_duplicates("h").sort_values("h")
-    index = FullTextIndex(pdf["reduced"].tolist())
-    return pd.DataFrame({"side": [pdf["side"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "index": [pickle.dumps((pdf["h"].to_numpy(), index))]})
+    data = pickle.dumps((pdf["h"].to_numpy(), FullTextIndex(pdf["reduced"].tolist())))
+    packed = len(data).to_bytes(8, "little") + pa.compress(data, "lz4", asbytes=True)
+    return pd.DataFrame({"side": [pdf["side"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "index": [packed]})
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, FullTextIndex]:
+    return pickle.loads(pa.decompress(memoryview(packed)[8:], int.from_bytes(packed[:8], "little"), "lz4", asbytes=True))
 
 
 def _searcher(held, threshold: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h_eval, index = pickle.loads(held.value)
+        h_eval, index = _unpack(held.value)
         for b in (part for whole in batches for part in (whole.slice(at, 2000) for at in range(0, whole.num_rows, 2000))):
             h, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
             c = index.candidates(texts)
