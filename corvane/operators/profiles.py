@@ -25,18 +25,39 @@ def profiles(units: DataFrame, source: str, text: str, order: list[str]) -> Data
     return p.select("source", "units", "chars", F.sha2("body", 256).alias("digest"), script_of("body").alias("script"), F.array_distinct(F.slice(F.regexp_extract_all("body", F.lit(r"(\d{1,4})"), 1), 1, 400)).alias("numbers"), shingle_sketch(words("body")).alias("sketch"))
 
 
-def bucket_pairs(keys: DataFrame, item: str, kind: str, key: str, least: int = 2, most: int = 40) -> DataFrame:
+MOST = 40
+
+
+def _members(keys: DataFrame, item: str, kind: str, key: str) -> DataFrame:
+    """Distinct (item, kind, key) without nulls."""
+    return keys.select(F.col(item).alias("item"), F.col(kind).alias("kind"), F.col(key).alias("key")).where("key is not null and item is not null").distinct()
+
+
+def bucket_pairs(keys: DataFrame, item: str, kind: str, key: str, least: int = 2, most: int | None = MOST) -> DataFrame:
     """(left, right, kinds) of items that share a bucket of `least` to `most` members; left < right, kinds sorted.
 
-    The bound on members is the operator's definition: a key that more items share says nothing about two of them.
+    Pairs of larger buckets are quadratic in their members, so those come from bucket_members instead; with `most` None all
+    buckets are paired.
     """
-    k = keys.select(F.col(item).alias("item"), F.col(kind).alias("kind"), F.col(key).alias("key")).where("key is not null and item is not null").distinct()
-    ok = k.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n").between(least, most)).select("kind", "key")
+    k = _members(keys, item, kind, key)
+    n = F.col("n")
+    ok = k.groupBy("kind", "key").agg(F.count("*").alias("n")).where(n >= least if most is None else n.between(least, most)).select("kind", "key")
     held = k.join(ok, ["kind", "key"])
     both = held.withColumnRenamed("item", "left").join(held.withColumnRenamed("item", "right"), ["kind", "key"]).where(F.col("left") < F.col("right"))
     return both.groupBy("left", "right").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
+def bucket_members(keys: DataFrame, item: str, kind: str, key: str, most: int = MOST) -> DataFrame:
+    """(kind, key, item, representative) of the buckets of more than `most` members, whole; the representative is the least item.
+
+    Two items are a pair of such a bucket if they have the same kind and key here: nothing is lost beside bucket_pairs, and
+    the rows are as many as the members.
+    """
+    k = _members(keys, item, kind, key)
+    large = k.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("item").alias("representative")).where(F.col("n") > most).drop("n")
+    return k.join(large, ["kind", "key"]).select("kind", "key", "item", "representative")
+
+
 def score_pairs(pairs: DataFrame, p: DataFrame, least: float = 0.35) -> DataFrame:
     """(left, right, signals, confidence, relation) of pairs with two signals or more and enough confidence.
 

@@ -21,21 +21,32 @@ def i1(spark, d):
     return p.select("source", "units", "chars", "digest", "script", F.size("numbers").alias("numbers"), F.size("sketch").alias("hashes"))
 
 
+def _batches(spark, d):
+    return t(spark, d, "segments").where("document_id is not null and import_batch_id is not null").select("id", F.lit("batch").alias("kind"), F.concat_ws("|", "import_batch_id", "document_id").alias("key"))
+
+
 @query("I2_bucket_pairs", "with k as (select distinct id, 'batch' as kind, import_batch_id || '|' || document_id as key from segments where document_id is not null and import_batch_id is not null), ok as (select key from k group by 1 having count(*) between 2 and 40) select a.id as \"left\", b.id as \"right\" from k a join k b using (key) join ok using (key) where a.id < b.id group by 1, 2")
 def i2(spark, d):
-    keys = t(spark, d, "segments").where("document_id is not null and import_batch_id is not null").select("id", F.lit("batch").alias("kind"), F.concat_ws("|", "import_batch_id", "document_id").alias("key"))
-    return P.bucket_pairs(keys, "id", "kind", "key").select("left", "right")
+    """Pairs of the buckets of 2 to 40 members; I2_bucket_members has the larger ones."""
+    return P.bucket_pairs(_batches(spark, d), "id", "kind", "key").select("left", "right")
+
+
+@query("I2_bucket_members")
+def i2_members(spark, d):
+    """The buckets of more than 40 members, a row a member, which stand for all their pairs."""
+    return P.bucket_members(_batches(spark, d), "id", "kind", "key").select("key", F.col("item").alias("id"), "representative")
 
 
 @query("I3_scored_pairs")
 def i3(spark, d):
+    """Every pair of every bucket is scored, however many documents share it."""
     ship(spark)
     p = stage(_profiles(spark, d))
     doc = t(spark, d, "corpus_documents").select(F.col("id").alias("source"), "source_id", "title")
     keys = p.select("source", F.lit("digest").alias("kind"), F.col("digest").alias("key"))
     keys = keys.unionByName(p.select("source", F.lit("band").alias("kind"), F.explode(P.bands(F.col("sketch"))).alias("key")))
     keys = keys.unionByName(doc.select("source", F.lit("title").alias("kind"), F.lower("title").alias("key"))).unionByName(doc.select("source", F.lit("folder").alias("kind"), F.col("source_id").alias("key")))
-    return P.score_pairs(P.bucket_pairs(keys, "source", "kind", "key"), p)
+    return P.score_pairs(P.bucket_pairs(keys, "source", "kind", "key", most=None), p)
 
 
 @query("I5_input_digest", "select sha256(string_agg(id || ':' || coalesce(content_hash, ''), chr(10) order by id)) as digest, count(*) as rows from corpus_documents")
