@@ -110,8 +110,8 @@ def st1(spark, d):
 
 def lexicon(spark, d):
     """Dictionary rows from the parallel pairs: the first Lak word, the Russian text as gloss, the other Lak words as forms."""
-    p = t(spark, d, "parallel_pairs").where("lak_text <> ''")
-    return L.synthesize(p.select(F.col("source_type").alias("source_id"), F.col("id").alias("ref"), F.element_at(F.split("lak_text", " "), 1).alias("headword"), F.col("ru_text").alias("gloss"), F.array_join(F.slice(F.split("lak_text", " "), 2, 3), ", ").alias("forms")))
+    p, w = t(spark, d, "parallel_pairs").where("lak_text <> ''"), F.split("lak_text", " ")
+    return L.synthesize(p.select(F.col("source_type").alias("source_id"), F.col("id").alias("ref"), F.element_at(w, 1).alias("headword"), F.col("ru_text").alias("gloss"), F.array_join(F.slice(w, 2, F.size(w)), ", ").alias("forms")))
 
 
 @query("E2_entries")

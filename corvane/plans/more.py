@@ -118,7 +118,7 @@ def e5(spark, d):
 def e8(spark, d):
     """Forms of pairs related to the headword of their pair; a source type's whole paradigm counts for lessons only."""
     p = t(spark, d, "parallel_pairs").where("lak_text <> ''").select(F.col("id").alias("entry_id"), F.col("source_type").alias("source"), F.split(F.lower("lak_text"), " ").alias("w"))
-    forms = p.select("entry_id", F.explode(F.slice("w", 1, 3)).alias("form"))
+    forms = p.select("entry_id", F.explode("w").alias("form"))
     links = p.select("entry_id", "source", F.col("w")[0].alias("form"), F.col("w")[0].alias("lemma"), F.array("source").alias("features"))
     return L.relations(forms.distinct(), links, "lesson").select("form", "lemma", "entry_id")
 

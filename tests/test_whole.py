@@ -5,6 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from corvane.operators import profiles as P
+from corvane.plans.exchange import lexicon
 from corvane.plans.registry import QUERIES
 
 
@@ -45,3 +46,17 @@ def test_i3_scores_a_digest_shared_by_over_40_documents(spark, tmp_path):
     )
     got = {(r.left, r.right): r.relation for r in QUERIES["I3_scored_pairs"](spark, d).collect()}
     assert got == {p: "duplicate" for p in itertools.combinations(docs, 2)}
+
+
+PAIRS = "id string, source_type string, ru_text string, lak_text string"
+
+
+def test_all_words_of_a_pair_are_forms(spark, tmp_path):
+    words = ["барз", "бур", "махъ", "ца", "хъинну", "бувну", "ва"]
+    d = folder(spark, tmp_path, parallel_pairs=([("p1", "lesson", "кувшин", " ".join(words)), ("p2", "book", "дом", "къатта"), ("p3", "book", None, None)], PAIRS))
+    assert {r.weight: r.n for r in QUERIES["E7_terms"](spark, d).collect()} == {100: 2, 88: 6, 70: 2}
+    got = {(r.form, r.lemma) for r in QUERIES["E8_form_relations"](spark, d).collect()}
+    assert got == {(w, "барз") for w in words} | {("къатта", "къатта")}
+    assert [(r.word, r.match_level) for r in QUERIES["Q6_dictionary_search"](spark, d).collect()] == [("барз", 2)]
+    terms = {r.term for r in lexicon(spark, d)["terms"].collect()}
+    assert set(words) | {"къатта", "кувшин", "дом"} == terms
