@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window as W
 
 from corvane.operators import relational as R
+from corvane.operators.profiles import CHARS, UNITS
 from corvane.plans.registry import query
 from corvane.session import table as t
 
@@ -305,12 +306,23 @@ def w1(spark, d):
     return R.top_each(rows, ["document_id"], [F.asc_nulls_last("paragraph"), F.asc_nulls_last("ordinal"), F.col("id"), F.col("imported_at")], 120).select("document_id", "id", F.col("rank").alias("n"))
 
 
-@query("W2_running_length", "select document_id, id from (select document_id, id, coalesce(sum(length(text_original)) over (partition by document_id order by n rows between unbounded preceding and 1 preceding), 0) as before from (select document_id, id, text_original, row_number() over (partition by document_id order by ordinal nulls first, id, content_hash) as n from (select distinct document_id, id, ordinal, content_hash, text_original from segments)) where n <= 120) where before < 4000")
-def w2(spark, d):
+def _running_length(spark, d, chars):
+    """Units of each document until `chars` characters are reached; the unit that crosses is kept."""
     rows = t(spark, d, "segments").select("document_id", "id", "ordinal", "content_hash", "text_original").distinct()
-    first = R.top_each(rows, ["document_id"], [F.col("ordinal"), F.col("id"), F.col("content_hash")], 120)  # so a window holds 120 rows at most
+    first = R.top_each(rows, ["document_id"], [F.col("ordinal"), F.col("id"), F.col("content_hash")], UNITS)  # so a window holds UNITS rows at most
     w = W.partitionBy("document_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-    return first.withColumn("before", F.coalesce(F.sum(F.length("text_original")).over(w), F.lit(0))).where("before < 4000").select("document_id", "id")
+    return first.withColumn("before", F.coalesce(F.sum(F.length("text_original")).over(w), F.lit(0))).where(F.col("before") < chars).select("document_id", "id")
+
+
+@query("W2_running_length", "select document_id, id from (select document_id, id, coalesce(sum(length(text_original)) over (partition by document_id order by n rows between unbounded preceding and 1 preceding), 0) as before from (select document_id, id, text_original, row_number() over (partition by document_id order by ordinal nulls first, id, content_hash) as n from (select distinct document_id, id, ordinal, content_hash, text_original from segments)) where n <= 120) where before < 4000")
+def w2(spark, d):
+    """Up to 4,000 characters, as the SQL has it; W2_running_length_whole goes up to the reference's bound."""
+    return _running_length(spark, d, 4000)
+
+
+@query("W2_running_length_whole")
+def w2_whole(spark, d):
+    return _running_length(spark, d, CHARS)
 
 
 @query("W3_page_with_total", "select id, title, total from (select id, title, count(*) over () as total from corpus_documents) order by id limit 25 offset 50")

@@ -60,3 +60,10 @@ def test_all_words_of_a_pair_are_forms(spark, tmp_path):
     assert [(r.word, r.match_level) for r in QUERIES["Q6_dictionary_search"](spark, d).collect()] == [("барз", 2)]
     terms = {r.term for r in lexicon(spark, d)["terms"].collect()}
     assert set(words) | {"къатта", "кувшин", "дом"} == terms
+
+
+def test_w2_keeps_units_up_to_40000_characters(spark, tmp_path):
+    rows = [("a", f"a{k:03d}", k, "h", "x" * 1000) for k in range(60)] + [("b", f"b{k:03d}", k, "h", "x") for k in range(130)] + [("c", "c0", 0, "h", "x" * 50_000), ("c", "c1", 1, "h", "x"), ("d", "d0", 0, "h", None)]
+    d = folder(spark, tmp_path, segments=(rows, "document_id string, id string, ordinal int, content_hash string, text_original string"))
+    got = {tuple(r) for r in QUERIES["W2_running_length_whole"](spark, d).collect()}
+    assert got == {("a", f"a{k:03d}") for k in range(40)} | {("b", f"b{k:03d}") for k in range(120)} | {("c", "c0"), ("d", "d0")}
