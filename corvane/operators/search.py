@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 from corvane.functions.text import field_tier, has_token, norm_query, query_tokens, record_tier, script_of
+from corvane.session import stage
 
 TEXT_FIELDS = ("text", "gloss", "source", "variety", "record_id", "alt_text", "translation_en")
 META_FIELDS = ("gloss", "source", "variety", "record_id", "translation_en")
@@ -123,6 +124,23 @@ def word_forms(docs: DataFrame, least_sources: int = 2) -> DataFrame:
     return forms.select("form", "sources", "occurrences", script_of("form").alias("script"), confidence.alias("confidence"))
 
 
+def contained(forms: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct (form, id): the words of `forms` (form) stand one after the other in a text of `texts` (id, text).
+
+    Forms are joined on their rarest word only, and the padded line of words is then searched for the whole form.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    f = forms.select("form", words("form").alias("w")).distinct()
+    lines = texts.select("id", words("text").alias("w")).where("id is not null")
+    tokens = lines.select("id", F.explode(F.array_distinct("w")).alias("token"))
+    n = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    each = f.select("form", padded("w").alias("phrase"), F.explode("w").alias("token"))
+    rarest = stage(each.join(n, "token").groupBy("form", "phrase").agg(F.min(F.struct("n", "token"))["token"].alias("token")))
+    near = tokens.join(rarest, "token").select("form", "phrase", "id")
+    return near.join(lines.select("id", padded("w").alias("line")), "id").where(F.col("line").contains(F.col("phrase"))).select("form", "id").distinct()
+
+
 def windows(text: str | None, form: str, most: int = 4, before: int = 90, after: int = 120) -> list[str]:
     """Up to `most` windows of whole words around a form, with ellipses where text goes on."""
     line, out, at = text or "", [], 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window as W
 
 from corvane.functions import text as X
-from corvane.operators import profiles as P, relational as R
+from corvane.operators import profiles as P, relational as R, search as S
 from corvane.plans.registry import query
 from corvane.session import ship, stage, table as t
 
@@ -163,3 +163,11 @@ def j18(spark, d):
     a = t(spark, d, "gold_set").where(F.col("lak_text").isNotNull() & ~F.col("lak_text").rlike(r"[^\p{L}]")).select(F.lower("lak_text").alias("form")).distinct()
     w = t(spark, d, "segments").select("id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text_normalized"), r"[^\p{L}\p{N}]+"), lambda x: x != ""))).alias("form")).distinct()
     return w.join(a, "form").groupBy("form").agg(F.count("*").alias("segments"))
+
+
+@query("J18_alias_containment_whole")
+def j18_whole(spark, d):
+    """All aliases, also those of several words and those with hyphens or stops, by the segments that hold their words in a row."""
+    a = t(spark, d, "gold_set").where("lak_text is not null").select(F.lower("lak_text").alias("form")).distinct()
+    held = S.contained(a, t(spark, d, "segments").select("id", F.col("text_normalized").alias("text")))
+    return held.groupBy("form").agg(F.count("*").alias("segments"))

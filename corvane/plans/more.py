@@ -127,7 +127,19 @@ def e8(spark, d):
 def e10(spark, d):
     w = t(spark, d, "segments").select("id", F.explode(F.array_distinct(_words("text_normalized"))).alias("form")).distinct()
     q = t(spark, d, "gold_set").where("lak_text <> ''").select(F.col("id").alias("task_id"), F.lower("lak_text").alias("form"), "priority")
-    m = q.join(w, "form")
+    return _task_examples(q.join(w, "form"))
+
+
+@query("E10_task_examples_whole")
+def e10_whole(spark, d):
+    """Examples also of the tasks whose text is of several words: segments that hold those words in a row."""
+    q = t(spark, d, "gold_set").where("lak_text <> ''").select(F.col("id").alias("task_id"), F.lower("lak_text").alias("form"), "priority")
+    held = S.contained(q.select("form"), t(spark, d, "segments").select("id", F.col("text_normalized").alias("text")))
+    return _task_examples(q.join(held, "form"))
+
+
+def _task_examples(m):
+    """Three examples and the score of each task of `m` (task_id, id, priority)."""
     n = m.groupBy("task_id").agg(F.count("*").alias("total"))
     top = R.top_each(m, ["task_id"], [F.col("id")], 3).join(n, "task_id")
     score = F.least(F.lit(100), F.greatest(F.lit(1), F.floor(F.max("priority") * 6 + F.log10(F.max("total") + 1) * 10 + 0.5)))

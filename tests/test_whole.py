@@ -67,3 +67,12 @@ def test_w2_keeps_units_up_to_40000_characters(spark, tmp_path):
     d = folder(spark, tmp_path, segments=(rows, "document_id string, id string, ordinal int, content_hash string, text_original string"))
     got = {tuple(r) for r in QUERIES["W2_running_length_whole"](spark, d).collect()}
     assert got == {("a", f"a{k:03d}") for k in range(40)} | {("b", f"b{k:03d}") for k in range(120)} | {("c", "c0"), ("d", "d0")}
+
+
+def test_aliases_of_several_words_are_found(spark, tmp_path):
+    segments = [("s1", "Барз бур хъинну."), ("s2", "бур барз"), ("s3", "барз, бур"), ("s3", "барз, бур"), ("s4", "абарз бур"), ("s5", None), ("s6", "къатта-бур")]
+    gold = [("t1", "барз бур", 0.5), ("t2", "Барз", 0.5), ("t3", "къатта-бур", 0.5), ("t4", "барз нет", 0.5), ("t5", None, 0.5), ("t6", "...", 0.5)]
+    d = folder(spark, tmp_path, segments=(segments, "id string, text_normalized string"), gold_set=(gold, "id string, lak_text string, priority double"))
+    assert {(r.form, r.segments) for r in QUERIES["J18_alias_containment_whole"](spark, d).collect()} == {("барз бур", 2), ("барз", 3), ("къатта-бур", 1)}
+    got = {r.task_id: (r.examples, r.score) for r in QUERIES["E10_task_examples_whole"](spark, d).collect()}
+    assert got == {"t1": ("s1|s3", 8), "t2": ("s1|s2|s3", 9), "t3": ("s6", 6)}
