@@ -6,6 +6,7 @@ from pyspark.sql import functions as F, Window as W
 
 from corvane.functions import text as X
 from corvane.operators import lexicon as L, profiles as P, relational as R, search as S
+from corvane.plans.exchange import lexicon
 from corvane.plans.intelligence import EVIDENCE_SQL, evidence
 from corvane.plans.registry import query
 from corvane.plans.texts import records
@@ -41,6 +42,21 @@ def j2(spark, d):
     return w.groupBy("term").agg(F.count("*").alias("pairs"), F.countDistinct("source_type").alias("types"), F.min("id").alias("first_pair"))
 
 
+@query("J2_dictionary_terms")
+def j2_whole(spark, d):
+    """All search terms with their entry, its source, and the entry's senses and forms, each aggregated before the join.
+
+    An entry whose source isn't among corpus_sources has no title; one without senses has an empty list.
+    """
+    lex = lexicon(spark, d)
+    source = t(spark, d, "corpus_sources").select(F.col("id").alias("source_id"), F.col("title").alias("source_title"))
+    senses = lex["senses"].groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "sense"))), lambda x: x["sense"]).alias("senses"))
+    forms = lex["forms"].groupBy("entry_id").agg(F.array_sort(F.collect_set("form")).alias("forms"))
+    entries = lex["entries"].select("entry_id", "source_id", "word").join(source, "source_id", "left").join(senses, "entry_id", "left").join(forms, "entry_id", "left")
+    none = F.array().cast("array<string>")
+    return lex["terms"].join(entries, "entry_id").select("term", "weight", "entry_id", "word", "source_id", "source_title", F.coalesce("senses", none).alias("senses"), F.coalesce("forms", none).alias("forms"))
+
+
 @query("J14_votes_with_weights", "with w as (select contributor_id, 0.3 + least(1.0::double, count(*) / 100.0::double) as weight from validation_votes where not flagged_spam group by 1) select v.task_id, count(*) as votes, floor(sum(w.weight) * 100 + 0.5) / 100 as weight from validation_votes v join w using (contributor_id) where not v.flagged_spam group by 1")
 def j14(spark, d):
     v = t(spark, d, "validation_votes").where(~F.col("flagged_spam"))

@@ -76,3 +76,11 @@ def test_aliases_of_several_words_are_found(spark, tmp_path):
     assert {(r.form, r.segments) for r in QUERIES["J18_alias_containment_whole"](spark, d).collect()} == {("барз бур", 2), ("барз", 3), ("къатта-бур", 1)}
     got = {r.task_id: (r.examples, r.score) for r in QUERIES["E10_task_examples_whole"](spark, d).collect()}
     assert got == {"t1": ("s1|s3", 8), "t2": ("s1|s2|s3", 9), "t3": ("s6", 6)}
+
+
+def test_j2_joins_terms_to_entries_sources_senses_and_forms(spark, tmp_path):
+    pairs = [("p1", "s1", "1. слово 2. речь", "махъ бур"), ("p2", "none", None, "барз"), ("p3", "s1", "x", None)]
+    d = folder(spark, tmp_path, parallel_pairs=(pairs, PAIRS), corpus_sources=([("s1", "Title"), ("s2", "Other")], "id string, title string"))
+    got = {(r.term, r.weight, r.word, r.source_title, tuple(r.senses), tuple(r.forms)) for r in QUERIES["J2_dictionary_terms"](spark, d).collect()}
+    rest = ("махъ", "Title", ("слово", "речь"), ("бур", "махъ"))
+    assert got == {(t, w, *rest) for t, w in (("махъ", 100), ("бур", 88), ("слово", 70), ("речь", 70))} | {("барз", 100, "барз", None, (), ("барз",))}
