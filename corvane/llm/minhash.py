@@ -1,8 +1,8 @@
 """Problem 1: near-duplicate records by b-bit MinHash.
 
 Each text's set of 4-character runs (of its reduced plain form) is hashed by K functions. Of each minimum only low bits are
-kept: 8 of them in the bands of four functions that give candidate pairs, one of each function packed into a 64-bit
-signature that travels with the bands. Within a bucket the share of equal bits, corrected for chance collisions, drops
+kept: 8 of them in the bands of four functions that give candidate pairs, one of each of 64 functions packed into a
+64-bit signature that travels with the bands. Within a bucket the share of equal bits, corrected for chance collisions, drops
 candidates far below the threshold; an exact comparison of the sets decides on the rest. Groups are the connected
 components of the pairs that are left.
 
@@ -29,9 +29,13 @@ from corvane.operators.graph import components
 from corvane.session import ship, stage, table
 
 RUN, MIN_CHARS = 4, 40
-K, ROWS, BANDS = 64, 4, 24
-#: Candidates whose corrected estimate is further below the threshold than this are dropped: two and a half standard deviations at K = 64.
-MARGIN = 0.25
+#: No two bands share a function.
+ROWS, BANDS = 4, 24
+K = ROWS * BANDS
+#: Functions that give a bit of the sketch.
+BITS = 64
+#: Candidates whose corrected estimate is further below the threshold than this are dropped: three standard deviations at 64 bits.
+MARGIN = 0.3
 BLOCK = 512
 #: Pairs of small buckets that are held in memory at once, about.
 PAIRS_AT_ONCE = 1_000_000
@@ -41,7 +45,7 @@ BROADCAST_ROWS = 4_000_000
 _rng = np.random.RandomState(20240607)
 _MUL = (_rng.randint(0, 2**31, K).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.randint(0, 2**31, K).astype(np.uint32)
-_BAND = np.array([_rng.permutation(K)[:ROWS] for _ in range(BANDS)])
+_BAND = _rng.permutation(K).reshape(BANDS, ROWS)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +95,7 @@ def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep.append(k)
         if keep:
             sig, h = signatures([texts[k] for k in keep]), np.array([h[k] for k in keep], np.int64)
-            sketch = np.packbits(sig & 1, axis=1, bitorder="little").view(np.int64).ravel()
+            sketch = np.packbits(sig[:, :BITS] & 1, axis=1, bitorder="little").view(np.int64).ravel()
             keys = [_mix(sig[:, rows].astype(np.uint64) @ (np.uint64(256) ** np.arange(ROWS, dtype=np.uint64)) + np.uint64((k + 1) << 40)).view(np.int64) for k, rows in enumerate(_BAND)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(h, BANDS)), pa.array(np.tile(sketch, BANDS))], ["key", "h", "sketch"])
 
@@ -101,7 +105,7 @@ PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sketch", pa.int64()),
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity from one bit of each minimum, corrected for the even chance that bits of different minima agree."""
-    return 1 - np.bitwise_count((a ^ b).view(np.uint64)).astype(np.float64) * (2 / K)
+    return 1 - np.bitwise_count((a ^ b).view(np.uint64)).astype(np.float64) * (2 / BITS)
 
 
 def _all_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
