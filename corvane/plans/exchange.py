@@ -131,6 +131,13 @@ def e4(spark, d):
     return p.select("id", F.explode(L.gloss_candidates(F.col("ru_text"))).alias("candidate"))
 
 
+@query("E4_sense_candidates")
+def e4_whole(spark, d):
+    """Candidates of every sense of all glosses: numbered marks part senses, labels in brackets and what follows a dash are dropped."""
+    p = t(spark, d, "parallel_pairs").select("id", F.explode(L.sense_parts(F.col("ru_text"))).alias("sense"))
+    return p.select("id", F.explode(L.gloss_candidates(F.col("sense"))).alias("candidate")).distinct()
+
+
 @query("E7_terms")
 def e7(spark, d):
     ship(spark)

@@ -91,3 +91,10 @@ def test_p1_bands_share_no_function():
     assert len(set(minhash._BAND.ravel().tolist())) == minhash.BANDS * minhash.ROWS <= minhash.K
     deviation = 2 * (0.8 * 0.2 / minhash.BITS) ** 0.5  # of the estimate at 0.6, where bits agree at 0.8
     assert minhash.MARGIN >= 3 * deviation - 1e-9
+
+
+def test_e4_takes_senses_brackets_and_dashes(spark, tmp_path):
+    pairs = [("p1", "s", "1. слово (уст.), речь 2. обещание", "x"), ("p2", "s", "дом — большой дом", "x"), ("p3", "s", "[разг.] луна", "x"), ("p4", "s", "пить — пить воду 2) есть", "x"), ("p5", "s", None, "x")]
+    d = folder(spark, tmp_path, parallel_pairs=(pairs, PAIRS))
+    got = {(r.id, r.candidate) for r in QUERIES["E4_sense_candidates"](spark, d).collect()}
+    assert got == {("p1", "слово"), ("p1", "речь"), ("p1", "обещание"), ("p2", "дом"), ("p3", "луна"), ("p4", "пить"), ("p4", "есть")}
