@@ -1,13 +1,17 @@
 """Problem 2: same or near-same records across splits, by a compressed full-text index of the evaluation texts.
 
-The evaluation texts are cut into shards of bounded size; each shard becomes an FM-index (Burrows-Wheeler transform with
-per-symbol rank bitmaps and a document array), built in a task and sent to all tasks, one shard at a time. Training texts are
-streamed through backward search, all positions of a batch at once: every run of SEED characters that occurs in the shard
-gives the documents that hold it, runs that follow one another in the same document merge into maximal matches, and their
-counts decide which pairs are compared exactly.
+The evaluation texts are cut into shards of bounded size; a shard holds FM-indexes (Burrows-Wheeler transform with per-symbol
+rank bitmaps and a document array), one for each class of text sizes in it. Index and training rows meet in one job, keyed by
+shard and slice: a task reads the index row first and streams the training texts of the slice through backward search.
 
-Texts are worked on by a hash of their reduced form, so copies are searched once. Every pair whose texts share SEED
-characters in a row and at least SHARE of their places is compared; no interval is cut off, however frequent its run.
+Candidates are exact. A text of `a` different 4-character runs that is similar to one of `b` lacks at most
+m = a - t (a + b) / (1 + t) of its runs there, so of any m + 1 windows that share no run at least one is found whole. Windows
+of up to WINDOW runs are laid over the training text, the m + 1 rarest by the widths of their intervals are expanded, and a
+bound on the runs not shared (by 256-bit maps) drops most pairs before the exact comparison, whose maximal matches are merged
+and counted. A window's runs may lie apart in the other text; the windows that could be put together from a text's runs but
+don't stand in it are indexed beside it (texts that repeat so much that these would be many are searched by single runs).
+
+Texts are worked on by a hash of their reduced form, so copies are searched once. No interval is cut off, however frequent.
 
 Defined results: null texts and texts under MIN_CHARS characters in reduced form have no similarity; repeated rows count once;
 without evaluation or training pairs the results are empty.
@@ -23,162 +27,349 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm.minhash import hashed, runs, similarity
+from corvane.llm.minhash import RUN, _mix, hashed, runs
 from corvane.llm.splits import effective_splits
 from corvane.session import ship, stage, table
 
-SEED, SHARE = 12, 0.05
+#: Runs of a window at most, and characters the suffixes are ordered by (a window's characters at least).
+WINDOW, DEPTH = 3, 8
+#: Sizes of texts in one index differ by this factor at most, or else more windows would have to be searched.
+CLASS = 1.2
 #: Characters of a shard; an index takes about 19 bytes a character where 100 symbols are in use.
 SHARD_CHARS = 1_000_000
-#: Runs of SHORT characters of a shard are marked in a bitmap of 2^SEEN_BITS, so that most places need no search.
-SHORT, SEEN_BITS = 10, 25
+#: Training texts that one copy of an index serves, about.
+SLICE = 50_000
+#: Put-together windows of a text beyond this many a run: it is searched by single runs.
+DENSE = 4
 #: Hits that are expanded at once.
-EXPAND = 4_000_000
+EXPAND = 2_000_000
 
 
-class FullTextIndex:
-    """An FM-index of a list of texts."""
+class Runs:
+    """The different runs of a list of texts, and bounds on what two texts share."""
 
     def __init__(self, texts: list[str]) -> None:
         self.texts = texts
-        self.seen = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
-        h = runs(texts, SHORT)[0] >> np.uint64(64 - SEEN_BITS)
-        np.bitwise_or.at(self.seen, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
-        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        h, offsets = runs(texts)
+        n = np.diff(offsets)
+        row = np.repeat(np.arange(len(texts)), n)
+        order = np.lexsort((h, row))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+        self.first = np.zeros(len(h), bool)
+        self.first[order[new]] = True  # the sort is stable, so this is a run's first place
+        self.row, self.hash, self.offsets = row, h, offsets
+        self.place = np.arange(len(h)) - offsets[row] if len(h) else np.zeros(0, np.int64)
+        self.size = np.bincount(row[self.first], minlength=len(texts)).astype(np.int64)
+        self.bits = np.zeros((4, len(texts)), np.uint64)
+        low = (h >> np.uint64(56)).astype(np.int64)
+        np.bitwise_or.at(self.bits, (low >> 6, row), np.uint64(1) << (low & 63).astype(np.uint64))
+        self.chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
+
+
+def least_shared(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """How many runs two sets of a and b runs share at least if their similarity is t."""
+    return np.ceil(t * (a + b) / (1 + t) - 1e-9).astype(np.int64)
+
+
+def common(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(similarity, maximal matches, characters of the longest one) of texts, one by one; a maximal match is a stretch of the left text whose runs the right one holds."""
+    if not left:
+        return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = Runs(left), Runs(right)
+    key = lambda r: _mix(r.hash ^ _mix(r.row.astype(np.uint64) + np.uint64(1)))
+    kx, ky = key(x), np.sort(key(y)[y.first])
+    at = np.minimum(np.searchsorted(ky, kx), max(len(ky) - 1, 0))
+    held = ky[at] == kx if len(ky) else np.zeros(len(kx), bool)
+    both = np.bincount(x.row[held & x.first], minlength=len(left))
+    begins = held.copy()
+    begins[1:] &= ~(held[:-1] & (x.row[1:] == x.row[:-1]))
+    place = np.flatnonzero(held)
+    starts = np.flatnonzero(begins)
+    length = np.diff(np.append(np.searchsorted(place, starts), len(place))) + RUN - 1
+    longest = np.zeros(len(left), np.int64)
+    np.maximum.at(longest, x.row[starts], length)
+    return both / np.maximum(x.size + y.size - both, 1), np.bincount(x.row[starts], minlength=len(left)), longest
+
+
+def put_together(r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, characters, dense rows): windows of 2 and 3 runs that fit together but don't stand in the text, padded with 0,
+    and which texts have too many of them."""
+    at = np.flatnonzero(r.first)
+    doc = r.row[at].astype(np.uint64)
+    four = r.chars[(r.begin[r.row[at]] + r.place[at])[:, None] + np.arange(RUN)].astype(np.uint64) if len(at) else np.zeros((0, RUN), np.uint64)
+
+    def key(d: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        k = _mix(d + np.uint64(1))
+        for c in columns.T:
+            k = _mix(k * np.uint64(0x100000001B3) + c)
+        return k
+
+    before, after = key(doc, four[:, :-1]), key(doc, four[:, 1:])
+    order = np.argsort(before, kind="stable")
+    lo, hi = np.searchsorted(before[order], after, "left"), np.searchsorted(before[order], after, "right")
+    n = hi - lo
+    dense = np.bincount(r.row[at], n, len(r.texts)) > DENSE * r.size + 64
+
+    def follow(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = n[nodes]
+        return np.repeat(np.arange(len(nodes)), w), order[np.repeat(lo[nodes] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
+
+    def standing(d: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        width = windows.shape[1]
+        ends = r.begin[1:][r.row] - (r.begin[:-1][r.row] + r.place) >= width
+        p, rows = (r.begin[r.row] + r.place)[ends], r.row[ends]
+        have = key(rows.astype(np.uint64), r.chars[p[:, None] + np.arange(width)].astype(np.uint64)) if len(p) else np.zeros(0, np.uint64)
+        return np.isin(key(d, windows), have)
+
+    src, dst = follow(np.flatnonzero(~dense[r.row[at]]))
+    src = np.flatnonzero(~dense[r.row[at]])[src]
+    two = np.concatenate([four[src], four[dst][:, -1:]], axis=1)
+    # texts whose windows of three runs would be many leave too
+    dense |= np.bincount(r.row[at][src], n[dst], len(r.texts)) > DENSE * r.size + 64
+    keep = ~dense[r.row[at][src]]
+    src, dst, two = src[keep], dst[keep], two[keep]
+    edge, end = follow(dst)
+    three = np.concatenate([two[edge], four[end][:, -1:]], axis=1)
+    out_row, out = [], []
+    for rows, w in ((r.row[at][src], two), (r.row[at][src][edge], three)):
+        new = ~standing(rows.astype(np.uint64), w)
+        out_row.append(rows[new])
+        out.append(np.pad(w[new], ((0, 0), (0, RUN + WINDOW - 1 - w.shape[1]))))
+    return np.concatenate(out_row), np.concatenate(out).astype(np.uint32), np.flatnonzero(dense)
+
+
+class FullTextIndex:
+    """An FM-index of a list of texts; suffixes are ordered by their first DEPTH characters, which is all that windows ask."""
+
+    def __init__(self, texts: list[str], window: int = WINDOW, extra: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        r = Runs(texts)
+        self.texts, self.size, self.bits, self.window = texts, r.size, r.bits, window
+        self.least, self.most = (int(r.size.min()), int(r.size.max())) if texts else (0, -1)
+        n = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         code = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.symbols = np.unique(code)
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), n + 1)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), n)
+        if extra is not None and len(extra[0]):
+            rows, windows = extra
+            code = np.concatenate([code, np.pad(windows, ((0, 0), (0, 1))).ravel()])
+            doc = np.concatenate([doc, np.repeat(rows.astype(np.int32), windows.shape[1] + 1)])
         size = len(code)
-        sym = np.searchsorted(self.symbols, code).astype(np.int64)
-        # ends of texts sort before all letters, by place, so that all suffixes differ
-        rank = np.where(code == 0, np.cumsum(code == 0) - 1, sym + len(texts) if size else sym)
-        step = 1
-        while True:
+        self.symbols, sym = np.unique(code, return_inverse=True)
+        rank, step = sym.astype(np.int64), 1
+        while step < DEPTH:
             follow = np.zeros(size, np.int64)
             follow[: size - step] = rank[step:] + 1
-            key = rank * (np.int64(max(size, len(texts) + len(self.symbols))) + 2) + follow
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])]) if size else np.zeros(0, np.int64)
-            rank = np.empty(size, np.int64)
-            rank[order] = new
-            if not size or new[-1] == size - 1:
-                break
+            _, rank = np.unique(rank * (size + len(self.symbols) + 2) + follow, return_inverse=True)
             step *= 2
+        order = np.argsort(rank, kind="stable")
         self.doc = doc[order]
         last = sym[order - 1]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(sym, minlength=len(self.symbols)))])
         words = size // 64 + 1
-        bits = np.zeros((len(self.symbols), words * 64), np.uint8)
-        bits[last, np.arange(size)] = 1
-        self.bits = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-        self.before = np.concatenate([np.zeros((len(self.symbols), 1), np.uint32), np.cumsum(np.bitwise_count(self.bits), axis=1, dtype=np.uint32)], axis=1)
+        bits = np.zeros((len(self.symbols), words * 64), bool)
+        bits[last, np.arange(size)] = True
+        self.held = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        self.before = np.concatenate([np.zeros((len(self.symbols), 1), np.uint32), np.cumsum(np.bitwise_count(self.held), axis=1, dtype=np.uint32)], axis=1)
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often symbol c occurs among the first i places of the transform."""
         w, r = i >> 6, (i & 63).astype(np.uint64)
-        return self.before[c, w].astype(np.int64) + np.bitwise_count(self.bits[c, w] & ((np.uint64(1) << r) - np.uint64(1)))
-
-    def possible(self, texts: list[str], first: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
-        """Whether the short runs at the beginning, in the middle and at the end of the run that ends at each place may occur; a bitmap of hashes says so."""
-        h, offsets = runs(texts, SHORT)
-        h >>= np.uint64(64 - SEEN_BITS)
-        here = np.zeros(len(first), bool)
-        size = np.diff(offsets)
-        begin = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) - np.fromiter(map(len, texts), np.int64, len(texts))
-        here[np.arange(len(h)) + np.repeat(begin - offsets[:-1], size)] = (self.seen[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
-        a, b = length - 1, SHORT - 1
-        return here[end - a] & here[end - b] & here[end - (a + b) // 2]
-
-    def occurrences(self, texts: list[str], code: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(end, lo, hi): the intervals of all runs of `length` characters of the texts that occur; `code` are their characters,
-        `first` is where the text of each place begins."""
-        sym = np.searchsorted(self.symbols, code)
-        known = sym < len(self.symbols)
-        known[known] = self.symbols[sym[known]] == code[known]
-        end = np.flatnonzero(np.arange(len(code)) - first >= length - 1)
-        if length >= SHORT:
-            end = end[self.possible(texts, first, end, length)]
-        lo, hi = np.zeros(len(end), np.int64), np.full(len(end), len(self.doc), np.int64)
+        return self.before[c, w].astype(np.int64) + np.bitwise_count(self.held[c, w] & ((np.uint64(1) << r) - np.uint64(1)))
+
+    def search(self, chars: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(lo, hi): the intervals of the `length` characters from each place; different ones are searched once."""
+        key = np.zeros(len(at), np.uint64)
         for k in range(length):
-            ok = known[end - k]
-            end, lo, hi = end[ok], lo[ok], hi[ok]
-            c = sym[end - k]
-            lo, hi = self.start[c] + self.rank(c, lo), self.start[c] + self.rank(c, hi)
-            ok = lo < hi
-            end, lo, hi = end[ok], lo[ok], hi[ok]
-        return end, lo, hi
-
-    def candidates(self, texts: list[str], length: int = SEED, share: float = SHARE) -> np.ndarray:
-        """Columns (text, document, places matched, maximal matches, longest): what `texts` share with the indexed ones."""
-        n = np.fromiter(map(len, texts), np.int64, len(texts))
-        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        text = np.repeat(np.arange(len(texts)), n)
-        first = np.repeat(np.cumsum(n) - n, n)
-        end, lo, hi = self.occurrences(texts, code, first, length)
-        out = [np.zeros((5, 0), np.int64)]
-        if len(end):
-            width = np.cumsum(hi - lo)
-            cuts = np.unique(np.concatenate([[0], np.searchsorted(width, np.arange(EXPAND, width[-1], EXPAND)), [len(end)]]))
-            # a cut never parts the places of one text
-            cuts = np.unique(np.concatenate([[0], np.searchsorted(text[end], text[end[np.minimum(cuts[1:-1], len(end) - 1)]]), [len(end)]]))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                w = hi[a:b] - lo[a:b]
-                at = np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(w)[:-1]]), w) + np.arange(w.sum())
-                row, place = np.repeat(text[end[a:b]], w), np.repeat(end[a:b], w)
-                key = (row * len(self.texts) + self.doc[at]) * np.int64(len(code) + 1) + place
-                key = np.unique(key)
-                pair, place = key // (len(code) + 1), key % (len(code) + 1)
-                new_pair = np.concatenate([[True], pair[1:] != pair[:-1]])
-                new_run = new_pair | np.concatenate([[True], place[1:] != place[:-1] + 1])
-                s, r = np.flatnonzero(new_pair), np.flatnonzero(new_run)
-                run = np.diff(np.concatenate([r, [len(key)]])) + length - 1
-                of = np.searchsorted(r, s)
-                matches = np.diff(np.concatenate([of, [len(r)]]))
-                out.append(np.stack([pair[s] // len(self.texts), pair[s] % len(self.texts), np.diff(np.concatenate([s, [len(key)]])), matches, np.maximum.reduceat(run, of)]))
-        got = np.concatenate(out, axis=1)
-        return got[:, got[2] >= np.maximum(1, share * n[got[0]])]
+            key = key * np.uint64(0x100000001B3) + chars[at + k] + np.uint64(1)
+        _, one, back = np.unique(_mix(key), return_index=True, return_inverse=True)
+        at = at[one]
+        lo, hi, on = np.zeros(len(at), np.int64), np.full(len(at), len(self.doc), np.int64), np.arange(len(at))
+        for k in range(length - 1, -1, -1):
+            c = np.searchsorted(self.symbols, chars[at[on] + k])
+            ok = c < len(self.symbols)
+            ok[ok] = self.symbols[c[ok]] == chars[at[on] + k][ok]
+            lo[on[~ok]], hi[on[~ok]] = 0, 0
+            on, c = on[ok], c[ok]
+            lo[on], hi[on] = self.start[c] + self.rank(c, lo[on]), self.start[c] + self.rank(c, hi[on])
+            on = on[lo[on] < hi[on]]
+        return lo[back], hi[back]
+
+    def candidates(self, r: Runs, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """(text, document): all pairs whose similarity may be t or more; pairs that can't reach it are left out by bounds only."""
+        none = np.zeros(0, np.int64)
+        least = np.maximum(self.least, np.ceil(t * r.size - 1e-9).astype(np.int64))
+        fits = (r.size > 0) & (least <= self.most) & (self.least <= np.floor(r.size / t + 1e-9))
+        miss = r.size - least_shared(r.size, least, t)
+        fits &= miss >= 0
+        if not fits.any():
+            return none, none
+        width = np.where(fits, np.clip(r.size // np.maximum(miss + 1, 1), 1, self.window), 1)
+        # windows: stretches of first places, cut every `width` places
+        at = np.flatnonzero(r.first & fits[r.row])
+        row = r.row[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
+        begin = np.flatnonzero(new)
+        inside = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+        head = np.flatnonzero(inside % width[row] == 0)
+        held = np.diff(np.append(head, len(at)))
+        at, row = at[head], row[head]
+        lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        place = r.begin[row] + r.place[at]
+        for w in np.unique(held):
+            some = np.flatnonzero(held == w)
+            lo[some], hi[some] = self.search(r.chars, place[some], int(w) + RUN - 1)
+        # the rarest miss + 1 windows of each text
+        order = np.lexsort((hi - lo, row))
+        row, lo, hi = row[order], lo[order], hi[order]
+        starts = np.searchsorted(row, row)
+        keep = (np.arange(len(row)) - starts <= miss[row]) & (lo < hi)
+        row, lo, hi = row[keep], lo[keep], hi[keep]
+        if not len(row):
+            return none, none
+        total = np.cumsum(hi - lo)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(EXPAND, total[-1], EXPAND)), [len(row)]]))
+        mine, lacks, spare = list(r.bits), list(~self.bits), np.clip(miss, 0, 65535).astype(np.uint16)
+        need_of = least_shared(np.arange(int(r.size.max()) + self.most + 1), 0, t)
+        out = [none]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            w = hi[a:b] - lo[a:b]
+            x = np.repeat(row[a:b].astype(np.int32), w)
+            y = self.doc[np.repeat(lo[a:b] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
+            apart = np.zeros(len(x), np.uint16)  # runs of x that y can't hold
+            for k in range(4):
+                apart += np.bitwise_count(mine[k][x] & lacks[k][y])
+            ok = apart <= spare[x]
+            x, y, apart = x[ok], y[ok], apart[ok]
+            sx, sy = r.size[x], self.size[y]
+            need = need_of[sx + sy]
+            back = sum((np.bitwise_count(self.bits[k][y] & ~r.bits[k][x]) for k in range(4)), np.zeros(len(x), np.uint16))
+            ok = (apart <= sx - need) & (back <= sy - need)
+            out.append(np.unique(x[ok].astype(np.int64) * len(self.texts) + y[ok]))
+        pairs = np.unique(np.concatenate(out))
+        return pairs // len(self.texts), pairs % len(self.texts)
+
+
+class Shard:
+    """The indexes of a shard's texts, by classes of sizes."""
+
+    def __init__(self, h: np.ndarray, texts: list[str]) -> None:
+        self.parts = []
+        r = Runs(texts)
+        rows, windows, dense = put_together(r)
+        is_dense = np.zeros(len(texts), bool)
+        is_dense[dense] = True
+        kind = size_class(r.size) * 2 + is_dense
+        for k in np.unique(kind):
+            some = np.flatnonzero(kind == k)
+            place = np.full(len(texts), -1)
+            place[some] = np.arange(len(some))
+            mine = place[rows] >= 0
+            self.parts.append((h[some], FullTextIndex([texts[x] for x in some], 1 if k & 1 else WINDOW, (place[rows[mine]], windows[mine]))))
+
+    def matches(self, texts: list[str], t: float) -> Iterator[tuple]:
+        """(place in texts, hash, similarity, matches, longest) of all similar texts, index by index."""
+        r = Runs(texts)
+        for h, index in self.parts:
+            x, y = index.candidates(r, t)
+            for a in range(0, len(x), 20_000):
+                i, j = x[a : a + 20_000], y[a : a + 20_000]
+                s, n, longest = common([texts[k] for k in i], [index.texts[k] for k in j])
+                ok = s >= t
+                if ok.any():
+                    yield i[ok], h[j[ok]], s[ok], n[ok], longest[ok]
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(CLASS)).astype(np.int64)
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.drop_duplicates("h").sort_values("h")
-    data = pickle.dumps((pdf["h"].to_numpy(), FullTextIndex(pdf["reduced"].tolist())))
+    data = pickle.dumps(Shard(pdf["h"].to_numpy(), pdf["reduced"].tolist()), protocol=5)
     packed = len(data).to_bytes(8, "little") + pa.compress(data, "lz4", asbytes=True)
-    return pd.DataFrame({"side": [pdf["side"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "index": [packed]})
+    return pd.DataFrame({"side": [pdf["side"].iloc[0]], "band": [pdf["band"].iloc[0]], "part": [pdf["part"].iloc[0]], "index": [packed]})
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, FullTextIndex]:
+def _unpack(packed: bytes) -> Shard:
     return pickle.loads(pa.decompress(memoryview(packed)[8:], int.from_bytes(packed[:8], "little"), "lz4", asbytes=True))
 
 
-def _searcher(held, threshold: float):
+FOUND = "side string, h_train long, h_eval long, similarity double, matches long, longest long"
+SIZED = "side string, h long, reduced string, n long, class long"
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = Runs(b.column(2).to_pylist()).size
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(size_class(n))], ["side", "h", "reduced", "n", "class"])
+
+
+def sized(texts: DataFrame) -> DataFrame:
+    """(side, h, reduced, n, class): the number of different runs of each text, and its class of sizes."""
+    return texts.select("side", "h", "reduced").mapInArrow(_sizes, SIZED)
+
+
+def _searcher(threshold: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h_eval, index = _unpack(held.value)
-        for b in (part for whole in batches for part in (whole.slice(at, 2000) for at in range(0, whole.num_rows, 2000))):
-            h, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            c = index.candidates(texts)
-            if c.shape[1]:
-                s = similarity([texts[k] for k in c[0]], [index.texts[k] for k in c[1]])
-                ok = s >= threshold
-                c, s = c[:, ok], s[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(h[c[0]]), pa.array(h_eval[c[1]]), pa.array(s), pa.array(c[3]), pa.array(c[4])], ["h_train", "h_eval", "similarity", "matches", "longest"])
+        """(key, side, h, reduced, index), sorted by key with the index first, -> similar texts."""
+        at, shard = None, None
+        for whole in batches:
+            for b in (whole.slice(k, 4000) for k in range(0, whole.num_rows, 4000)):
+                keys = b.column(0).to_numpy()
+                for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(keys)) + 1):
+                    p = b.slice(int(part[0]), len(part))
+                    if keys[part[0]] != at:
+                        packed = p.column(4)[0].as_py()  # there is none where no text fell into the shard
+                        at, shard = keys[part[0]], _unpack(packed) if packed else None
+                        p = p.slice(1 if packed else 0)
+                    if p.num_rows and shard:
+                        side, h, texts = p.column(1)[0].as_py(), p.column(2).to_numpy(), p.column(3).to_pylist()
+                        for x, y, s, n, longest in shard.matches(texts, threshold):
+                            yield pa.RecordBatch.from_arrays([pa.array([side] * len(x)), *map(pa.array, (h[x], y, s, n, longest))], ["side", "h_train", "h_eval", "similarity", "matches", "longest"])
 
     return search
 
 
+def bands(train: DataFrame, evaluation: DataFrame, threshold: float) -> list[tuple]:
+    """(side, band, least, most, low, high, parts, slices, first key): classes of sizes that share shards, how many shards and slices
+    each has, and the sizes it holds. A row per side and class of sizes reaches the driver."""
+    count = lambda d: d.groupBy("side", "class").agg(F.sum(F.length("reduced") + 1).alias("chars"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("rows")).orderBy("side", "class").collect()
+    held, asked, out, key = count(evaluation), count(train), [], 0
+    runs_of = []
+    for r in held:
+        if runs_of and runs_of[-1][0].side == r.side and sum(x.chars for x in runs_of[-1]) + r.chars <= SHARD_CHARS:
+            runs_of[-1].append(r)
+        else:
+            runs_of.append([r])
+    for k, rs in enumerate(runs_of):
+        low, high = min(r.low for r in rs), max(r.high for r in rs)
+        rows = sum(a.rows for a in asked if a.side == rs[0].side and low * threshold <= a.high and a.low * threshold <= high)
+        parts, slices = -(-sum(r.chars for r in rs) // SHARD_CHARS), max(1, -(-rows // SLICE))
+        out.append((rs[0].side, k, rs[0]["class"], rs[-1]["class"], low, high, parts, slices, key))
+        key += parts * slices
+    return out
+
+
 def cross_matches(train: DataFrame, evaluation: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(side, h_train, h_eval, similarity, matches, longest) of similar texts; both tables have (side, h, reduced)."""
     spark = train.sparkSession
-    chars = evaluation.groupBy("side").agg(F.sum(F.length("reduced") + 1).alias("n")).collect()  # a row per side
-    per = spark.createDataFrame([(r.side, max(1, -(-r.n // SHARD_CHARS))) for r in chars], "side string, shards long")
-    cut = evaluation.join(F.broadcast(per), "side").withColumn("shard", F.pmod("h", "shards").cast("int"))
-    indexes = stage(cut.groupBy("side", "shard").applyInPandas(_build, "side string, shard int, index binary"))
-    schema = "h_train long, h_eval long, similarity double, matches long, longest long"
-    out = spark.createDataFrame([], "side string, " + schema)
-    for r in indexes.select("side", "shard").orderBy("side", "shard").collect():  # a row per shard
-        held = spark.sparkContext.broadcast(indexes.where((F.col("side") == r.side) & (F.col("shard") == r["shard"])).first()["index"])
-        part = train.where(F.col("side") == r.side).select("h", "reduced").mapInArrow(_searcher(held, threshold), schema)
-        out = out.unionByName(part.select(F.lit(r.side).alias("side"), "*"))
-    return out.distinct()
+    train, evaluation = stage(sized(train)), stage(sized(evaluation))
+    table_ = bands(train, evaluation, threshold)
+    per = F.broadcast(spark.createDataFrame(table_, "side string, band long, least long, most long, low long, high long, parts long, slices long, key long"))
+    cut = evaluation.join(per, (evaluation.side == per.side) & evaluation["class"].between(F.col("least"), F.col("most"))).select(evaluation.side, "band", F.pmod("h", "parts").alias("part"), "h", "reduced")
+    built = stage(cut.groupBy("side", "band", "part").applyInPandas(_build, "side string, band long, part long, index binary"))
+    slice_key = F.col("key") + F.col("part") * F.col("slices") + F.col("slice")
+    index = built.join(per, ["side", "band"]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    asked = train.join(per, (train.side == per.side) & (F.col("low") * threshold <= F.col("n") + 1e-6) & (F.col("n") * threshold <= F.col("high") + 1e-6))
+    asked = asked.select(train.side, "h", "reduced", "key", "slices", F.pmod(F.xxhash64("h"), "slices").alias("slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    rows = index.select(slice_key.alias("key"), "side", F.lit(0).cast("long").alias("h"), F.lit(None).cast("string").alias("reduced"), "index", F.lit(0).alias("kind")).unionByName(
+        asked.select(slice_key.alias("key"), "side", "h", "reduced", F.lit(None).cast("binary").alias("index"), F.lit(1).alias("kind"))
+    )
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    met = rows.repartitionById(n, F.pmod("key", F.lit(n)).cast("int")).sortWithinPartitions("key", "kind")
+    return met.select("key", "side", "h", "reduced", "index").mapInArrow(_searcher(threshold), FOUND).distinct()
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

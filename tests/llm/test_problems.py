@@ -125,15 +125,71 @@ def test_signatures_estimate_similarity():
 # ---- 2: overlaps across splits
 
 
+def _all_similar(queries, held, pairs=None):
+    return {(i, j) for i, j in pairs or itertools.product(range(len(queries)), range(len(held))) if sim(queries[i], held[j]) >= 0.6}
+
+
+def _matched(queries, held):
+    import numpy as np
+
+    return {(int(i), int(j)) for x, y, *_ in overlap.Shard(np.arange(len(held)), held).matches(queries, 0.6) for i, j in zip(x, y)}
+
+
 def test_full_text_index_finds_all_occurrences():
+    import numpy as np
+
     rng = random.Random(3)
-    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 60))) for _ in range(40)] + ["abcabcabcabcabc"] * 2
-    index = overlap.FullTextIndex(texts)
-    query = texts[3] + "zz" + texts[-1]
-    c = index.candidates([query], length=5, share=0)
-    want = {k: {e for e in range(4, len(query)) if query[e - 4 : e + 1] in t} for k, t in enumerate(texts)}
-    got = {int(d): int(n) for _, d, n, _, _ in c.T}
-    assert got == {k: len(v) for k, v in want.items() if v}
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(4, 60))) for _ in range(40)] + ["abcabcabcabcabc"] * 2
+    index, query = overlap.FullTextIndex(texts), overlap.Runs([texts[3] + "zz" + texts[-1]])
+    for length in (1, 4, 6):
+        at = np.arange(len(query.chars) - length + 1)
+        lo, hi = index.search(query.chars, at, length)
+        for p, a, b in zip(at, lo, hi):
+            piece = query.texts[0][p : p + length]
+            assert b - a == sum(t[k : k + length] == piece for t in texts for k in range(len(t)))
+            assert {int(d) for d in index.doc[a:b]} == {k for k, t in enumerate(texts) if piece in t}
+
+
+@pytest.mark.parametrize("length", [5, 6, 7, 8, 9])
+def test_reordered_words_are_found(length):
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(length))
+    held = [" ".join(word() for _ in range(14)) for _ in range(150)]
+    queries = [" ".join(rng.sample(t.split(), 14)) for t in held]
+    want = _all_similar(queries, held, [(k, k) for k in range(150)])
+    assert _matched(queries, held) == want and (want or length < 6)
+
+
+def test_edited_and_repetitive_texts_are_found():
+    rng, total = random.Random(9), 0
+    for alphabet in ("ab ", "abcd ", "abcdefgh ") * 6:
+        held = [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(40, 90))).split()) for _ in range(25)] + ["ab" * 30, "abc " * 12]
+        queries = []
+        for t in held * 2:
+            s = list(t)
+            for _ in range(rng.randint(0, 6)):
+                k = rng.randrange(len(s))
+                s[k : k + rng.randint(0, 1)] = rng.choice(["", *alphabet])
+            queries.append("".join(s[k:] + s[:k] if rng.random() < 0.3 else s))
+        want = _all_similar(queries, held)
+        assert _matched(queries, held) == want
+        total += len(want)
+    assert total > 500
+
+
+def test_the_result_is_the_same_whatever_the_shards(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    held = [" ".join(word() for _ in range(rng.randint(9, 40))) for _ in range(120)]
+    queries = [" ".join(w for w in t.split() if rng.random() > 0.08) for t in held * 2]
+    t = spark.createDataFrame([("ru", k, q) for k, q in enumerate(queries)], "side string, h long, reduced string")
+    e = spark.createDataFrame([("ru", k, q) for k, q in enumerate(held)], "side string, h long, reduced string")
+    got = []
+    for chars, rows in ((10**6, 10**5), (700, 30)):
+        monkeypatch.setattr(overlap, "SHARD_CHARS", chars)
+        monkeypatch.setattr(overlap, "SLICE", rows)
+        got.append({(r.h_train, r.h_eval) for r in overlap.cross_matches(t, e).collect()})
+    assert got[0] == got[1] == _all_similar(queries, held)
 
 
 def test_p2_found_against_brute_force(spark):
