@@ -35,8 +35,8 @@ from corvane.session import ship, stage, table
 WINDOW, DEPTH = 3, 8
 #: Sizes of texts in one index differ by this factor at most, or else more windows would have to be searched.
 CLASS = 1.2
-#: Characters of a shard; an index takes about 19 bytes a character where 100 symbols are in use.
-SHARD_CHARS = 1_000_000
+#: Characters of a shard; an index takes about 15 bytes a character where 70 symbols are in use.
+SHARD_CHARS = 2_000_000
 #: Training texts that one copy of an index serves, about.
 SLICE = 50_000
 #: Put-together windows of a text beyond this many a run: it is searched by single runs.
@@ -108,38 +108,57 @@ def put_together(r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     before, after = key(doc, four[:, :-1]), key(doc, four[:, 1:])
     order = np.argsort(before, kind="stable")
-    lo, hi = np.searchsorted(before[order], after, "left"), np.searchsorted(before[order], after, "right")
-    n = hi - lo
+    asked = np.argsort(after, kind="stable")
+    lo, n = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    lo[asked] = np.searchsorted(before[order], after[asked], "left")
+    n[asked] = np.searchsorted(before[order], after[asked], "right") - lo[asked]
     dense = np.bincount(r.row[at], n, len(r.texts)) > DENSE * r.size + 64
+    left = np.diff(r.offsets)[r.row[at]] - r.place[at] - 1  # runs that follow in the text
 
     def follow(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = n[nodes]
         return np.repeat(np.arange(len(nodes)), w), order[np.repeat(lo[nodes] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
 
-    def standing(d: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        width = windows.shape[1]
-        ends = r.begin[1:][r.row] - (r.begin[:-1][r.row] + r.place) >= width
-        p, rows = (r.begin[r.row] + r.place)[ends], r.row[ends]
-        have = key(rows.astype(np.uint64), r.chars[p[:, None] + np.arange(width)].astype(np.uint64)) if len(p) else np.zeros(0, np.uint64)
-        return np.isin(key(d, windows), have)
-
-    src, dst = follow(np.flatnonzero(~dense[r.row[at]]))
-    src = np.flatnonzero(~dense[r.row[at]])[src]
-    two = np.concatenate([four[src], four[dst][:, -1:]], axis=1)
+    def apart(nodes: np.ndarray, windows: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        """Which windows, each beginning with the run of a node, don't stand in the text; `sure` are those that do for certain."""
+        out, width = ~sure, windows.shape[1]
+        ends = np.diff(r.offsets)[r.row] - r.place > width - RUN
+        have = np.sort(key(r.row[ends].astype(np.uint64), r.chars[(r.begin[r.row] + r.place)[ends][:, None] + np.arange(width)].astype(np.uint64)))
+        ask = key(doc[nodes[out]], windows[out])
+        by = np.argsort(ask, kind="stable")
+        stands = np.empty(len(ask), bool)
+        stands[by] = have[np.minimum(np.searchsorted(have, ask[by]), len(have) - 1)] == ask[by] if len(have) else False
+        out[out] = ~stands
+        return out
+
+    nodes = np.flatnonzero(~dense[r.row[at]])
+    src, dst = follow(nodes)
+    src = nodes[src]
     # texts whose windows of three runs would be many leave too
     dense |= np.bincount(r.row[at][src], n[dst], len(r.texts)) > DENSE * r.size + 64
     keep = ~dense[r.row[at][src]]
-    src, dst, two = src[keep], dst[keep], two[keep]
+    src, dst = src[keep], dst[keep]
+    two = np.concatenate([four[src], four[dst][:, -1:]], axis=1)
     edge, end = follow(dst)
     three = np.concatenate([two[edge], four[end][:, -1:]], axis=1)
     out_row, out = [], []
-    for rows, w in ((r.row[at][src], two), (r.row[at][src][edge], three)):
-        new = ~standing(rows.astype(np.uint64), w)
-        out_row.append(rows[new])
+    # a run that only one other can follow is followed by it
+    one = n[src] == 1
+    for nodes, w, sure in ((src, two, one & (left[src] > 0)), (src[edge], three, (one & (n[dst] == 1) & (left[src] > 1))[edge])):
+        new = apart(nodes, w, sure)
+        out_row.append(r.row[at][nodes[new]])
         out.append(np.pad(w[new], ((0, 0), (0, RUN + WINDOW - 1 - w.shape[1]))))
     return np.concatenate(out_row), np.concatenate(out).astype(np.uint32), np.flatnonzero(dense)
 
 
+def window_key(chars: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the `length` characters from each place."""
+    key = np.zeros(len(at), np.uint64)
+    for k in range(length):
+        key = key * np.uint64(0x100000001B3) + chars[at + k] + np.uint64(1)
+    return _mix(key)
+
+
 class FullTextIndex:
     """An FM-index of a list of texts; suffixes are ordered by their first DEPTH characters, which is all that windows ask."""
 
@@ -150,41 +169,44 @@ class FullTextIndex:
         n = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         code = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), n)
-        if extra is not None and len(extra[0]):
-            rows, windows = extra
-            code = np.concatenate([code, np.pad(windows, ((0, 0), (0, 1))).ravel()])
-            doc = np.concatenate([doc, np.repeat(rows.astype(np.int32), windows.shape[1] + 1)])
         size = len(code)
         self.symbols, sym = np.unique(code, return_inverse=True)
-        rank, step = sym.astype(np.int64), 1
+        order, rank, step = np.arange(size), sym.astype(np.int64), 1
         while step < DEPTH:
             follow = np.zeros(size, np.int64)
             follow[: size - step] = rank[step:] + 1
-            _, rank = np.unique(rank * (size + len(self.symbols) + 2) + follow, return_inverse=True)
+            key = rank * (size + len(self.symbols) + 2) + follow
+            order = np.argsort(key, kind="stable")
+            rank = np.empty(size, np.int64)
+            rank[order] = np.concatenate([np.zeros(min(size, 1), np.int64), np.cumsum(key[order][1:] != key[order][:-1])])
             step *= 2
-        order = np.argsort(rank, kind="stable")
-        self.doc = doc[order]
-        last = sym[order - 1]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(sym, minlength=len(self.symbols)))])
-        words = size // 64 + 1
-        bits = np.zeros((len(self.symbols), words * 64), bool)
-        bits[last, np.arange(size)] = True
-        self.held = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        last, at = sym[order - 1], np.arange(size)
+        self.held = np.zeros((len(self.symbols), size // 64 + 1), np.uint64)
+        np.bitwise_or.at(self.held, (last, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
         self.before = np.concatenate([np.zeros((len(self.symbols), 1), np.uint32), np.cumsum(np.bitwise_count(self.held), axis=1, dtype=np.uint32)], axis=1)
+        # windows that were put together, by hash; their texts follow those of the places
+        rows, windows = extra if extra is not None else (np.zeros(0, np.int32), np.zeros((0, 0), np.uint32))
+        keys = np.zeros(len(rows), np.uint64)
+        for w in np.unique((windows > 0).sum(axis=1)):
+            some = (windows > 0).sum(axis=1) == w
+            keys[some] = window_key(windows[some].ravel(), np.arange(some.sum()) * windows.shape[1], int(w))
+        by = np.argsort(keys, kind="stable")
+        self.extra, self.doc = keys[by], np.concatenate([doc[order], rows[by].astype(np.int32)])
+        self.places = size
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often symbol c occurs among the first i places of the transform."""
         w, r = i >> 6, (i & 63).astype(np.uint64)
         return self.before[c, w].astype(np.int64) + np.bitwise_count(self.held[c, w] & ((np.uint64(1) << r) - np.uint64(1)))
 
-    def search(self, chars: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lo, hi): the intervals of the `length` characters from each place; different ones are searched once."""
-        key = np.zeros(len(at), np.uint64)
-        for k in range(length):
-            key = key * np.uint64(0x100000001B3) + chars[at + k] + np.uint64(1)
-        _, one, back = np.unique(_mix(key), return_index=True, return_inverse=True)
+    def search(self, chars: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """(lo, hi, lo, hi): the intervals of the `length` characters from each place, in the texts and among the windows put
+        together; different ones are searched once."""
+        key, one, back = np.unique(window_key(chars, at, length), return_index=True, return_inverse=True)
+        more = [np.searchsorted(self.extra, key, side)[back] + self.places for side in ("left", "right")]
         at = at[one]
-        lo, hi, on = np.zeros(len(at), np.int64), np.full(len(at), len(self.doc), np.int64), np.arange(len(at))
+        lo, hi, on = np.zeros(len(at), np.int64), np.full(len(at), self.places, np.int64), np.arange(len(at))
         for k in range(length - 1, -1, -1):
             c = np.searchsorted(self.symbols, chars[at[on] + k])
             ok = c < len(self.symbols)
@@ -193,7 +215,7 @@ class FullTextIndex:
             on, c = on[ok], c[ok]
             lo[on], hi[on] = self.start[c] + self.rank(c, lo[on]), self.start[c] + self.rank(c, hi[on])
             on = on[lo[on] < hi[on]]
-        return lo[back], hi[back]
+        return lo[back], hi[back], *more
 
     def candidates(self, r: Runs, t: float) -> tuple[np.ndarray, np.ndarray]:
         """(text, document): all pairs whose similarity may be t or more; pairs that can't reach it are left out by bounds only."""
@@ -215,17 +237,18 @@ class FullTextIndex:
         head = np.flatnonzero(inside % width[row] == 0)
         held = np.diff(np.append(head, len(at)))
         at, row = at[head], row[head]
-        lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        at_row = row
+        found = np.zeros((4, len(at)), np.int64)
         place = r.begin[row] + r.place[at]
         for w in np.unique(held):
             some = np.flatnonzero(held == w)
-            lo[some], hi[some] = self.search(r.chars, place[some], int(w) + RUN - 1)
+            found[:, some] = self.search(r.chars, place[some], int(w) + RUN - 1)
         # the rarest miss + 1 windows of each text
-        order = np.lexsort((hi - lo, row))
-        row, lo, hi = row[order], lo[order], hi[order]
-        starts = np.searchsorted(row, row)
-        keep = (np.arange(len(row)) - starts <= miss[row]) & (lo < hi)
-        row, lo, hi = row[keep], lo[keep], hi[keep]
+        order = np.argsort(row * (len(self.doc) + 1) + found[1] - found[0] + found[3] - found[2], kind="stable")
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) <= miss[row]]
+        lo, hi, row = np.concatenate([found[0][order], found[2][order]]), np.concatenate([found[1][order], found[3][order]]), np.tile(at_row[order], 2)
+        row, lo, hi = row[lo < hi], lo[lo < hi], hi[lo < hi]
         if not len(row):
             return none, none
         total = np.cumsum(hi - lo)
