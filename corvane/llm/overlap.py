@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm.minhash import RUN, _mix, hashed, runs
@@ -41,7 +42,11 @@ SHARD_CHARS = 2_000_000
 SLICE = 50_000
 #: Put-together windows of a text beyond this many a run: it is searched by single runs.
 DENSE = 4
-#: Hits that are expanded at once.
+#: Characters of training texts that are searched together, about.
+BATCH_CHARS = 1_500_000
+#: Windows that are searched beyond the miss + 1 needed; as many hits more a candidate must have.
+SPARE = 3
+#: Hits, and counters of hits, that are held at once.
 EXPAND = 2_000_000
 
 
@@ -65,9 +70,35 @@ class Runs:
         low = (h >> np.uint64(56)).astype(np.int64)
         np.bitwise_or.at(self.bits, (low >> 6, row), np.uint64(1) << (low & 63).astype(np.uint64))
         self.chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.letters, self.spelling = np.unique(self.chars, return_inverse=True)
+        self.windows_: dict[int, tuple] = {}
         self.begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
 
 
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        """(row, name, groups): windows that share no run, stretches of first places cut every `width` places; a group holds
+        the different ones of a length, spelled by places in `letters`, and their keys in order; `name` counts through the groups."""
+        if width not in self.windows_:
+            at = np.flatnonzero(self.first)
+            row = self.row[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
+            begin = np.flatnonzero(new)
+            inside = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+            head = np.flatnonzero(inside % width == 0)
+            held = np.diff(np.append(head, len(at)))
+            row, place = row[head], (self.begin[row] + self.place[at])[head]
+            name, groups, base = np.zeros(len(head), np.int64), [], 0
+            for w in np.unique(held):
+                some, n = np.flatnonzero(held == w), int(w) + RUN - 1
+                key, one, back = np.unique(window_key(self.chars, place[some], n), return_index=True, return_inverse=True)
+                name[some] = back + base
+                base += len(key)
+                groups.append((self.spelling[place[some][one][:, None] + np.arange(n)], key))
+            self.windows_[width] = row, name, groups
+        return self.windows_[width]
+
+
 def least_shared(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """How many runs two sets of a and b runs share at least if their similarity is t."""
     return np.ceil(t * (a + b) / (1 + t) - 1e-9).astype(np.int64)
@@ -200,22 +231,25 @@ class FullTextIndex:
         w, r = i >> 6, (i & 63).astype(np.uint64)
         return self.before[c, w].astype(np.int64) + np.bitwise_count(self.held[c, w] & ((np.uint64(1) << r) - np.uint64(1)))
 
-    def search(self, chars: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-        """(lo, hi, lo, hi): the intervals of the `length` characters from each place, in the texts and among the windows put
-        together; different ones are searched once."""
-        key, one, back = np.unique(window_key(chars, at, length), return_index=True, return_inverse=True)
-        more = [np.searchsorted(self.extra, key, side)[back] + self.places for side in ("left", "right")]
-        at = at[one]
-        lo, hi, on = np.zeros(len(at), np.int64), np.full(len(at), self.places, np.int64), np.arange(len(at))
-        for k in range(length - 1, -1, -1):
-            c = np.searchsorted(self.symbols, chars[at[on] + k])
-            ok = c < len(self.symbols)
-            ok[ok] = self.symbols[c[ok]] == chars[at[on] + k][ok]
-            lo[on[~ok]], hi[on[~ok]] = 0, 0
-            on, c = on[ok], c[ok]
-            lo[on], hi[on] = self.start[c] + self.rank(c, lo[on]), self.start[c] + self.rank(c, hi[on])
-            on = on[lo[on] < hi[on]]
-        return lo[back], hi[back], *more
+    def search(self, letters: np.ndarray, spelled: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(lo, hi, lo, hi): the intervals of windows (a row each of `spelled`, by places in `letters`), in the texts and, by
+        their keys (in order), among the windows put together."""
+        sym = np.searchsorted(self.symbols, letters)
+        sym[sym == len(self.symbols)] = 0
+        sym[self.symbols[sym] != letters] = -1
+        n = len(spelled)
+        lo, hi, on = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+        a, b = np.zeros(n, np.int64), np.full(n, self.places, np.int64)
+        for k in range(spelled.shape[1] - 1, -1, -1):
+            c = sym[spelled[on, k]]
+            ok = c >= 0
+            if not ok.all():
+                on, c, a, b = on[ok], c[ok], a[ok], b[ok]
+            a, b = self.start[c] + self.rank(c, a), self.start[c] + self.rank(c, b)
+            ok = a < b
+            on, a, b = on[ok], a[ok], b[ok]
+        lo[on], hi[on] = a, b
+        return lo, hi, *(np.searchsorted(self.extra, key, side) + self.places for side in ("left", "right"))
 
     def candidates(self, r: Runs, t: float) -> tuple[np.ndarray, np.ndarray]:
         """(text, document): all pairs whose similarity may be t or more; pairs that can't reach it are left out by bounds only."""
@@ -226,52 +260,55 @@ class FullTextIndex:
         fits &= miss >= 0
         if not fits.any():
             return none, none
-        width = np.where(fits, np.clip(r.size // np.maximum(miss + 1, 1), 1, self.window), 1)
-        # windows: stretches of first places, cut every `width` places
-        at = np.flatnonzero(r.first & fits[r.row])
-        row = r.row[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
-        begin = np.flatnonzero(new)
-        inside = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-        head = np.flatnonzero(inside % width[row] == 0)
-        held = np.diff(np.append(head, len(at)))
-        at, row = at[head], row[head]
-        at_row = row
-        found = np.zeros((4, len(at)), np.int64)
-        place = r.begin[row] + r.place[at]
-        for w in np.unique(held):
-            some = np.flatnonzero(held == w)
-            found[:, some] = self.search(r.chars, place[some], int(w) + RUN - 1)
-        # the rarest miss + 1 windows of each text
-        order = np.argsort(row * (len(self.doc) + 1) + found[1] - found[0] + found[3] - found[2], kind="stable")
-        row = row[order]
-        order = order[np.arange(len(row)) - np.searchsorted(row, row) <= miss[row]]
-        lo, hi, row = np.concatenate([found[0][order], found[2][order]]), np.concatenate([found[1][order], found[3][order]]), np.tile(at_row[order], 2)
+        width = np.where(fits, np.clip(r.size // np.maximum(miss + 1 + SPARE, 1), 1, self.window), 1)
+        found, rows, names, base = [], [], [], 0
+        for w in np.unique(width[fits]):
+            row, name, groups = r.windows(int(w))
+            asked = np.flatnonzero((fits & (width == w))[row])
+            rows.append(row[asked])
+            names.append(name[asked] + base)
+            for spelled, key in groups:
+                found.append(np.stack(self.search(r.letters, spelled, key)))
+                base += len(key)
+        row, name, found = np.concatenate(rows), np.concatenate(names), np.concatenate(found, axis=1)
+        # the rarest windows of each text; a similar one holds all of them but `miss`
+        often = found[1] - found[0] + found[3] - found[2]
+        order = np.argsort(row * (2 * len(self.doc) + 1) + often[name])
+        row, name = row[order], name[order]
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        keep = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) <= miss[row] + SPARE
+        least_hits = np.bincount(row[keep], minlength=len(r.texts)) - miss
+        keep &= often[name] > 0
+        row, name = np.repeat(row[keep], 2), name[keep]
+        lo, hi = found[0::2, name].T.ravel(), found[1::2, name].T.ravel()
         row, lo, hi = row[lo < hi], lo[lo < hi], hi[lo < hi]
         if not len(row):
             return none, none
-        total = np.cumsum(hi - lo)
-        cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(EXPAND, total[-1], EXPAND)), [len(row)]]))
-        mine, lacks, spare = list(r.bits), list(~self.bits), np.clip(miss, 0, 65535).astype(np.uint16)
         need_of = least_shared(np.arange(int(r.size.max()) + self.most + 1), 0, t)
-        out = [none]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            w = hi[a:b] - lo[a:b]
-            x = np.repeat(row[a:b].astype(np.int32), w)
-            y = self.doc[np.repeat(lo[a:b] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
-            apart = np.zeros(len(x), np.uint16)  # runs of x that y can't hold
-            for k in range(4):
-                apart += np.bitwise_count(mine[k][x] & lacks[k][y])
-            ok = apart <= spare[x]
-            x, y, apart = x[ok], y[ok], apart[ok]
+        held, out = len(self.texts), [none]
+        # hits are counted for a few texts at a time: as many as the counters and the hits of EXPAND allow, one at least
+        ends = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, len(row))
+        total, a = np.cumsum(hi - lo)[ends - 1], 0
+        while a < len(ends):
+            b = max(a + 1, min(a + EXPAND // held, int(np.searchsorted(total, (total[a - 1] if a else 0) + EXPAND))))
+            some = slice(ends[a - 1] if a else 0, ends[b - 1])
+            names, w = row[np.append(0, ends[:-1])[a:b]], hi[some] - lo[some]
+            at = np.repeat(lo[some] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+            key = np.repeat(np.searchsorted(names, row[some]) * held, w) + self.doc[at]
+            count = np.bincount(key, minlength=len(names) * held).reshape(len(names), held)
+            x, y = np.nonzero(count >= least_hits[names][:, None])
+            x, a = names[x], b
             sx, sy = r.size[x], self.size[y]
             need = need_of[sx + sy]
-            back = sum((np.bitwise_count(self.bits[k][y] & ~r.bits[k][x]) for k in range(4)), np.zeros(len(x), np.uint16))
-            ok = (apart <= sx - need) & (back <= sy - need)
-            out.append(np.unique(x[ok].astype(np.int64) * len(self.texts) + y[ok]))
-        pairs = np.unique(np.concatenate(out))
-        return pairs // len(self.texts), pairs % len(self.texts)
+            ok = need <= np.minimum(sx, sy)
+            for k in range(4):  # nor do the maps show more runs on one side only than there may be
+                apart, back = (np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)) if k == 0 else (apart, back)
+                apart += np.bitwise_count(r.bits[k][x] & ~self.bits[k][y])
+                back += np.bitwise_count(self.bits[k][y] & ~r.bits[k][x])
+            ok &= (apart <= sx - need) & (back <= sy - need)
+            out.append(x[ok] * held + y[ok])
+        pairs = np.concatenate(out)
+        return pairs // held, pairs % held
 
 
 class Shard:
@@ -339,7 +376,9 @@ def _searcher(threshold: float):
         """(key, side, h, reduced, index), sorted by key with the index first, -> similar texts."""
         at, shard = None, None
         for whole in batches:
-            for b in (whole.slice(k, 4000) for k in range(0, whole.num_rows, 4000)):
+            size = np.cumsum(pc.fill_null(pc.utf8_length(whole.column(3)), 0).to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(size // BATCH_CHARS)) + 1).tolist(), whole.num_rows]
+            for b in (whole.slice(i, k - i) for i, k in zip(cuts, cuts[1:]) if k > i):
                 keys = b.column(0).to_numpy()
                 for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(keys)) + 1):
                     p = b.slice(int(part[0]), len(part))
