@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corvane.llm.samples import labelled
 from corvane.session import ship, table
 
 #: Fixed values: (encoding of the text, encoding it was read with, times).
@@ -40,11 +42,20 @@ ENTER = 7.0
 OTHER_LETTER, OTHER_SIGN, UNTYPED = 1e-5, 1e-7, 1e-9
 GARBLED_FLOOR = 1e-7
 KEEP = 0.9
-#: Least probabilities of usual neighbours in clean text, whatever the samples show: the samples are few.
+#: Least probabilities of usual neighbours in clean text, whatever the samples show: the samples are few. Letters that the
+#: samples don't hold may stand beside others of their script, more rarely beside each other; signs stand before or after
+#: blanks and figures.
 FLOOR_LOWER, FLOOR_UPPER, FLOOR_STOP = 2e-3, 2e-4, 5e-3
-#: Typed signs beside the samples' own, and words of other languages that clean texts use.
+FLOOR_OTHER, FLOOR_OTHERS, FLOOR_GREEK = 5e-4, 3e-4, 1e-2
+FLOOR_SIGN, FLOOR_SIGN_OF_WORD = 1e-3, 2e-4
+#: What a garbled state pays for a character that no garbled sample holds.
+UNKNOWN = 2.0
+#: Greatest probability of neighbours of two scripts that the samples don't show.
+MIXED = 1e-5
+#: Typed signs beside the samples' own, signs that follow or precede a word's letters, and signs of the rest.
 SIGNS = "§ № « » — – … “ ” „ ’ ‘ °"
-LOANS = ("naïve", "façade", "café", "déjà", "Überblick", "señor", "garçon", "élève", "Ångström", "smörgås", "crème", "brûlée")
+AFTER_LETTER, BEFORE_LETTER = "²³¹ªº®™’´", "µ°¿¡$£€№§©’"
+TYPED = "§№«»—–…“”„’‘°£€¥¢₽±×÷µ²³¹½¼¾©®™¿¡•†‡ªº·‰¶≤≥≠≈∞∑∫π∂∆∏−¬¦‹›→←↑↓"
 
 
 @cache
@@ -108,6 +119,24 @@ def ungarble(text: str, pair: tuple[str, str, int]) -> str | None:
     return text
 
 
+@cache
+def script_of(ch: str) -> int:
+    """1 for Cyrillic letters, 2 for Latin and 3 for Greek ones, 0 for all else."""
+    if not ch.isalpha():
+        return 0
+    name = unicodedata.name(ch, "")
+    return 1 if name.startswith("CYRILLIC") else 2 if name.startswith("LATIN") else 3 if name.startswith("GREEK") else 0
+
+
+def mixed(text: str) -> int:
+    """How many neighbours are letters of different scripts; what is typed for a palochka goes with any within a word."""
+    out = 0
+    for k in range(1, len(text)):
+        if (text[k - 1] >= "\x80" or text[k] >= "\x80") and (a := script_of(text[k - 1])) and (b := script_of(text[k])) and a != b:
+            out += not (text[k] in "IlӀӏ" or text[k - 1] in "IlӀӏ" and k > 1 and text[k - 2] >= "\x80")
+    return out
+
+
 def _fits(text: str, encoding: str) -> bool:
     """Whether someone would have written `text` in that encoding: it holds nearly all of the letters, and letters beyond ASCII."""
     beyond, letters = sum(ch.isalpha() for ch in text if ch >= "\x80"), sum(map(str.isalpha, text))
@@ -116,16 +145,35 @@ def _fits(text: str, encoding: str) -> bool:
     return sum(len(ch.encode(encoding, "ignore")) == 0 for ch in text if ch not in "Ӏӏ") <= 0.05 * len(text)
 
 
+def accented(samples: list[str]) -> list[str]:
+    """Latin samples in which one letter carries a mark, for every letter with one in Latin-1 and Latin Extended-A, or holds a
+    typed sign or an apostrophe: garbled texts may come from words that the samples don't hold."""
+    out, latin = [], [s for s in samples if s and s.isascii()] or [s for s in samples if s and sum(map(str.isascii, s)) > 0.9 * len(s)]
+    for k, ch in enumerate(chr(c) for c in range(0xC0, 0x180)):
+        base = unicodedata.normalize("NFD", ch)[0]
+        if ch.isalpha() and latin:
+            for s in (latin[k % len(latin)], latin[(k * 7 + 3) % len(latin)]):
+                at = [m.start() for m in re.finditer(re.escape(base) if base != ch else "[a-z]", s, 0 if base.isupper() else re.I)] or [len(s) // 2]
+                at = at[k % len(at)]
+                out.append(s[:at] + ch + s[at + 1 :])
+    for k, sign in enumerate(TYPED):
+        if latin:
+            s = latin[k % len(latin)]
+            out += [s.replace(" ", f" {sign}", 1), s.replace(" ", f"{sign} ", 1)]
+    out += [s[:at] + "’" + s[at:] for s in latin[::3] for at in range(3, len(s) - 3, 9) if s[at - 1].isalpha() and s[at].isalpha()]
+    return out
+
+
 class Garbling:
     """The model: `lp[previous, character, state]`, state 0 being the clean one."""
 
     def __init__(self, samples: list[str]) -> None:
         clean = [s for s in samples if s]
-        clean = clean + [s.upper() for s in clean[::5]] + [f"{a} {s} {w}" for s, a, w in zip(clean, SIGNS.split() * 99, LOANS * 99)]
+        clean = clean + [s.upper() for s in clean[::5]] + [f"{a} {s}" for s, a in zip(clean, SIGNS.split() * 99)]
         quoted = [f"«{s}» — “{s}” №" for s in clean[::3]]
         sets = [clean + quoted]
         for pair in PAIRS:
-            fit = [s for s in clean + quoted if _fits(s, pair[0])]
+            fit = [s for s in [*clean, *quoted, *accented(samples)] if _fits(s, pair[0])]
             texts = [(s, garble(s, pair, replace)) for s in fit for replace in (False, True)]
             sets.append([t for s, t in texts if s != t and not t.isascii()])
         self._sampled = {c for s in sets[0] for c in s}
@@ -146,8 +194,11 @@ class Garbling:
             given = two.sum(axis=1, keepdims=True)
             keep = KEEP * given / (given + 5)
             p = keep * two / np.maximum(given, 1) + (1 - keep) * p1
-            lp[:, :, k] = np.log(np.maximum(p, self._usual(ascii_)) if k == 0 else p)
+            if k == 0:
+                p = np.where(self._foreign() & (two == 0), np.minimum(p, MIXED), np.maximum(p, self._usual()))
+            lp[:, :, k] = np.log(p)
         lp[n - 1, :, :], lp[:, n - 1, :] = lp[n - 1, :, :1], lp[:, n - 1, :1]
+        lp[:, n - 1, 1:] -= UNKNOWN
         both = ascii_[:, None] & ascii_[None, :]
         lp[both] = lp[both][:, :1]
         if 0xFFFD in self.chars:
@@ -166,19 +217,37 @@ class Garbling:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("flat_")}
 
-    def _usual(self, ascii_: np.ndarray) -> np.ndarray:
+    def _foreign(self) -> np.ndarray:
+        """Which neighbours are letters of different scripts."""
+        script = np.array([0 if c in "IlӀӏ" else script_of(c) for c in [*map(chr, self.chars), "\ufffe"]])
+        return (script[:, None] != script[None, :]) & (script[:, None] > 0) & (script[None, :] > 0)
+
+    def _usual(self) -> np.ndarray:
         """Least probabilities of what any clean text may hold: letters of one script and case one after the other, capitals
         that begin words, and blanks, stops and quotes anywhere."""
         chars = [chr(c) for c in self.chars] + ["\ufffe"]
-        script = np.array([1 if "а" <= c.lower() <= "я" or c in "ёЁӀ" else 2 if c.lower() != c.upper() and c in self._sampled and (c < "\u0370" or c >= "\u1e00") else 0 for c in chars])
+        script = np.array([script_of(c) for c in chars])
+        own = np.array([c in self._sampled or c < "\x80" or "а" <= c.lower() <= "я" or c in "ёЁӀ" for c in chars])
         upper = np.array([c.isupper() for c in chars])
-        stop = np.array([c in " \n\r\t.,;:!?()-\"'«»“”„—–…0123456789§" for c in chars])
+        one_of = lambda signs: np.array([c in signs for c in chars])
+        stop, sign = one_of(" \n\r\t.,;:!?()-\"'«»“”„’‘—–…0123456789§"), one_of(TYPED)
         out = np.zeros((len(chars), len(chars)))
         same = (script[:, None] == script[None, :]) & (script[:, None] > 0)
-        out[same & ~upper[:, None] & ~upper[None, :]] = FLOOR_LOWER
-        out[same & upper[:, None] & ~upper[None, :]] = FLOOR_LOWER
-        out[same & upper[:, None] & upper[None, :]] = FLOOR_UPPER
-        out[np.ix_(stop, script > 0)] = FLOOR_LOWER
+        both, neither = own[:, None] & own[None, :], ~own[:, None] & ~own[None, :]
+        cased = same & ~upper[None, :]
+        out[cased] = FLOOR_OTHER
+        out[cased & neither] = FLOOR_OTHERS
+        out[cased & both] = FLOOR_LOWER
+        out[same & upper[:, None] & upper[None, :]] = FLOOR_OTHERS
+        out[same & upper[:, None] & upper[None, :] & both] = FLOOR_UPPER
+        out[same & ~upper[:, None] & upper[None, :]] = 0
+        out[cased & (script == 3)[:, None]] = FLOOR_GREEK
+        out[np.ix_(stop, script > 0)] = FLOOR_OTHER
+        out[np.ix_(stop, (script > 0) & (own | (script == 3)))] = FLOOR_LOWER
+        out[np.ix_(stop, sign)] = FLOOR_SIGN
+        out[np.ix_(stop, one_of("√"))] = FLOOR_SIGN_OF_WORD
+        out[np.ix_((script > 0) & own, one_of(AFTER_LETTER))] = FLOOR_SIGN_OF_WORD
+        out[np.ix_(one_of(BEFORE_LETTER), (script > 0) & own)] = FLOOR_SIGN_OF_WORD
         out[:, stop] = FLOOR_STOP
         return out
 
@@ -249,13 +318,11 @@ class Garbling:
             back[t] = came
             score = step + self.lp[codes[t], codes[t + 1]]
             score -= score.max(axis=1, keepdims=True)
-        out = [np.empty(len(t), np.int8) for t in texts]
-        state, ends = score.argmax(axis=1), np.array([len(t) for t in texts])
+        path, state = np.empty((width, len(texts)), np.int8), score.argmax(axis=1)
         for t in range(width - 1, -1, -1):
-            for k in np.flatnonzero(ends > t):
-                out[k][t] = state[k]
+            path[t] = state
             state = back[t, np.arange(len(texts)), state]
-        return out
+        return [path[: len(t), k].copy() for k, t in enumerate(texts)]
 
     def spans(self, text: str, states: np.ndarray) -> list[tuple[int, int, int]]:
         """(from, to, state) of the stretches of a garbled state that hold more than ASCII."""
@@ -268,49 +335,67 @@ class Garbling:
         code = self.code(f"\n{text}\n")
         return float(self.lp[code[:-1], code[1:], 0].astype(np.float64).sum())
 
-    def _better(self, span: str, left: str, right: str, pair: tuple[str, str, int], by: float = ENTER) -> str | None:
-        """What a garbled span was, if its inverse transform exists and reads better than the span."""
+    def _better(self, span: str, pair: tuple[str, str, int]) -> tuple[float, str]:
+        """What a garbled piece was and how much better it reads; the piece itself where it can't be undone or reads no better."""
         back = ungarble(span, pair)
-        if back is None or back == span or self.clean_score(left + back + right) <= self.clean_score(left + span + right) + by:
-            return None
-        return back
+        gain = self.clean_score(back) - self.clean_score(span) if back is not None else 0
+        return (gain, back) if gain > 0 else (0, span)
+
+    def _undone(self, text: str, a: int, b: int, low: int, pair: tuple[str, str, int]) -> tuple[int, int, str, bool] | None:
+        """(from, to, original, whole) of a garbled span, the reading that is likeliest in the clean state; None if the span isn't garbled.
+
+        A span may begin or end within a character's bytes or within a word, so it is tried with and without the characters
+        beside it that aren't ASCII; a text that was read wrongly twice may have been read so once. Where no inverse
+        transform of the whole exists, its pieces are undone one by one; if none reads better, only signs that no one types
+        show that the span is garbled."""
+        first, last = a, b
+        while first > low and text[first - 1] >= "\x80":
+            first -= 1
+        while last < len(text) and text[last] >= "\x80":
+            last += 1
+        left, right = text[max(low, first - 2) : first], text[last : last + 1]
+        before = mixed(left + text[first:last] + right)
+        now = self.clean_score(left + text[first:last] + right)
+        best, exists = (now + ENTER, None, True), False
+        for p in [pair] if pair[2] == 1 else [pair, (*pair[:2], 1)]:
+            for i, k in ((first, last), (a, b)):
+                back = ungarble(text[i:k], p)
+                exists |= back is not None and p == pair
+                new = text[first:i] + (back or "") + text[k:last]
+                if back is None or back == text[i:k] or mixed(left + new + right) > before:
+                    continue
+                best = max(best, (self.clean_score(left + new + right), new, True), key=lambda x: x[0])
+        if not exists:
+            parts = [self._better(x, pair) if k % 2 else (0, x) for k, x in enumerate(_PIECES.split(text[first:last]))]
+            gain = sum(g for g, _ in parts)
+            if now + gain > best[0] or best[1] is None and _UNTYPED.search(text[first:last]):
+                best = now + gain, "".join(x for _, x in parts), False
+        return None if best[1] is None else (first, last, *best[1:])
 
     def restore(self, text: str, states: np.ndarray) -> tuple[str, int, int]:
-        """The text with all spans undone where possible, the number of spans, and how many were undone.
-
-        A span whose inverse transform is the text itself, or reads no better than what stands there, isn't garbled."""
+        """The text with all spans undone where possible, the number of spans, and how many were undone whole."""
         out, at, spans, undone = [], 0, 0, 0
         for a, b, s in self.spans(text, states):
+            a = max(a, at)
             # ASCII at the borders doesn't count; it would only break a strict decoding
-            while text[a] < "\x80":
+            while a < b and text[a] < "\x80":
                 a += 1
-            while text[b - 1] < "\x80":
+            while a < b and text[b - 1] < "\x80":
                 b -= 1
-            if ungarble(text[a:b], PAIRS[s - 1]) is None:  # a span may begin or end within a character's bytes
-                while a > at and text[a - 1] >= "\x80":
-                    a -= 1
-                while b < len(text) and text[b] >= "\x80":
-                    b += 1
-            back = self._better(text[a:b], text[max(at, a - 1) : a], text[b : b + 1], PAIRS[s - 1])
-            whole = back is not None
-            if not whole and ungarble(text[a:b], PAIRS[s - 1]) is not None:
-                continue
-            if not whole:  # piece by piece; without a piece that reads better, only signs that no one types show garbling
-                parts = [(p, self._better(p, "", "", PAIRS[s - 1], 0) if k % 2 else None) for k, p in enumerate(_PIECES.split(text[a:b]))]
-                gain = sum(self.clean_score(new) - self.clean_score(p) for p, new in parts if new is not None)
-                if gain <= ENTER and not _UNTYPED.search(text[a:b]):
-                    continue
-                back = "".join(p if new is None else new for p, new in parts)
-            spans += 1
-            undone += whole
-            out += [text[at:a], back]
-            at = b
+            got = self._undone(text, a, b, at, PAIRS[s - 1]) if a < b else None
+            if got is not None:
+                first, last, back, whole = got
+                spans, undone = spans + 1, undone + whole
+                out += [text[at:first], back]
+                at = last
         return "".join([*out, text[at:]]), spans, undone
 
 
 _PIECES = re.compile(r"([^\x00-\x7f]+)")
 _UNTYPED = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
 BLOCK = 64
+#: Labelled samples of a language that the model is fitted to at most.
+PER_LANGUAGE = 400
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("restored", pa.string()), ("spans", pa.int64()), ("undone", pa.int64())])
 
 
@@ -346,8 +431,7 @@ def garbled(documents: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, restored, spans, undone) of the documents (doc_id, text) that hold garbled characters."""
     spark = documents.sparkSession
     ship(spark)
-    rows = samples.where("sample_text is not null").orderBy("sample_id", "sample_text").limit(2000).collect()  # labelled samples, bounded
-    held = spark.sparkContext.broadcast(pickle.dumps(Garbling([r.sample_text for r in rows])))
+    held = spark.sparkContext.broadcast(pickle.dumps(Garbling([t for _, t in labelled(samples, PER_LANGUAGE)])))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''").mapInArrow(_labeller(held), "doc_id long, restored string, spans long, undone long")
 
 

@@ -5,7 +5,7 @@ n-grams, fitted to the labelled samples, says which half of the classes the word
 margins into a loss per codeword. A Viterbi pass over the words of a text finds the parts: a change of language costs SWITCH,
 and no single word can cost more than CLIP, so names and single foreign words don't make a part. Close decisions are flagged.
 
-The classifiers see only the labelled samples (MAX_SAMPLES rows at most); every text is labelled whole.
+The classifiers see only the labelled samples (PER_LANGUAGE of a language at most); every text is labelled whole.
 
 Defined results: a null text, or one without a word, has no part; a language is in a text if a part of at least MIN_WORDS words
 is in it; where no part is that long, the text's language is the one with the least loss over all its words.
@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.llm.minhash import runs
 from corvane.llm.plain import is_plain, plain_text
+from corvane.llm.samples import labelled
 from corvane.session import ship, table
 
-MAX_SAMPLES = 5000
+PER_LANGUAGE = 1000
 ORDERS, BITS, ALPHA = (1, 2, 3, 4), 15, 0.3
 SWITCH, CLIP, MIN_WORDS = 6.0, 4.0, 5
 #: How much less likely a bordering word may be in a part's language to count for it.
@@ -136,8 +137,8 @@ class LanguageCodes:
         for j, x in enumerate(losses):
             if len(x):
                 cost[: len(x), j] = np.minimum(x - x.min(axis=1, keepdims=True), CLIP)
-        score, back = cost[0].copy(), np.zeros((width, len(losses), k), np.int8)
-        stay = np.arange(k, dtype=np.int8)
+        score, back = cost[0].copy(), np.zeros((width, len(losses), k), np.int16)
+        stay = np.arange(k, dtype=np.int16)
         for t in range(1, width):
             best = score.argmin(axis=1)
             low = score[np.arange(len(losses)), best][:, None] + SWITCH
@@ -145,7 +146,7 @@ class LanguageCodes:
             back[t] = np.where(move, best[:, None], stay)
             score = np.where(move, low, score) + cost[t]
         out, state = [], score.argmin(axis=1)
-        path = np.empty((width, len(losses)), np.int8)
+        path = np.empty((width, len(losses)), np.int16)
         for t in range(width - 1, -1, -1):
             path[t] = state
             state = back[t, np.arange(len(losses)), state]
@@ -201,8 +202,7 @@ def parts(texts: DataFrame, samples: DataFrame) -> DataFrame:
     """(id, code, first_word, n_words, lang, confidence, ambiguous): the parts of the texts (id, code, text)."""
     spark = texts.sparkSession
     ship(spark)
-    rows = samples.where("lang is not null and sample_text is not null").orderBy("sample_id", "lang", "sample_text").limit(MAX_SAMPLES).collect()
-    model = LanguageCodes([(r.lang, r.sample_text) for r in rows])
+    model = LanguageCodes(labelled(samples.where("lang is not null"), PER_LANGUAGE))
     texts = texts if model.langs else texts.limit(0)  # without a sample there is no language to find
     held = spark.sparkContext.broadcast(pickle.dumps(model))
     schema = "id string, code string, first_word int, n_words int, lang string, confidence double, ambiguous boolean"

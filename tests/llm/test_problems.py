@@ -413,6 +413,33 @@ def test_clean_texts_stay(model, spark):
         assert model.restore(t, model.label([t])[0])[1:] == (0, 0), t
 
 
+def _rewritten(model, texts):
+    return [t for t in texts if model.suspects([t]) and model.restore(t, model.label([t])[0])[1]]
+
+
+def test_clean_texts_of_other_languages_stay(model):
+    from clean_texts import FRAMES, HELD_OUT, TEXTS
+
+    assert len(TEXTS) >= 200 and len(_rewritten(model, TEXTS)) <= 0.02 * len(TEXTS)
+    held = [f.format(t) for t in HELD_OUT for f in FRAMES]
+    assert len(_rewritten(model, held)) <= 0.06 * len(held)
+
+
+def test_every_pair_is_found_and_undone(model, spark):
+    samples = [r.sample_text for r in table(spark, SF, "language_samples").orderBy("sample_id").collect() if r.sample_text][::3]
+    found = undone = total = 0
+    for pair in garble.PAIRS:
+        one = [0, 0, 0]
+        for t in samples:
+            g = garble.garble(t, pair) if garble._fits(t, pair[0]) else t
+            if g != t and not g.isascii():
+                new, spans, _ = model.restore(g, model.label([g])[0]) if model.suspects([g]) else (g, 0, 0)
+                one = [one[0] + 1, one[1] + (spans > 0), one[2] + (new in (t, t.replace("Ӏ", "I").replace("ӏ", "I")))]
+        assert one[0] > 5 and one[1] >= 0.6 * one[0] and one[2] >= 0.5 * one[0], pair
+        total, found, undone = total + one[0], found + one[1], undone + one[2]
+    assert found >= 0.98 * total and undone >= 0.95 * total
+
+
 def test_garbled_documents_and_edges(spark):
     rows = [(1, RU), (2, None), (3, ""), (4, garble.garble(RU, ("utf-8", "cp1252", 1), True)), (5, "���� ��� ����"), (6, RU + " " + garble.garble("где", ("utf-8", "latin-1", 1)))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
