@@ -3,8 +3,9 @@
 Plain form: letters composed (NFC), ordinary spaces, no invisible and no full-width characters, every palochka U+04C0, and no
 word that mixes look-alike letters of another script. A word's dominant script is the one that owns letters which no other
 script could stand for; look-alikes of other scripts are replaced by that script's letters. Only words of mixed script are
-touched, so Roman numerals and foreign words that stand alone stay. Where no letter decides, the reading that occurs in the
-corpus vocabulary wins, else the script of most letters.
+touched, so Roman numerals and foreign words that stand alone stay. A word's readings are looked up in the corpus vocabulary;
+where none occurs there, the plain form forbids the mixed word all the same, and the likeliest reading is taken in a step of
+its own (see `decided`).
 
 Defined results: a null text has a null plain form and is never reported; an empty text is its own plain form.
 """
@@ -13,10 +14,9 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
-import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -162,46 +162,63 @@ def reduced(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(plain(text)), "ӏ", PALOCHKA), r"[^\p{L}\p{Nd}]+", " "))
 
 
-def undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with more than one reading, of the texts in column `text`."""
-    for b in batches:
-        words = {w for t in b.column(0).to_pylist() if t for w in _WORD.findall(squash(t)) if len(readings(w)) > 1}
-        rows = [(w, r, k) for w in words for k, r in enumerate(readings(w))]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))], ["word", "reading", "k"])
+@cache
+def _odd(word: str) -> bool:
+    return readings(word) != [word]
 
 
-def repair(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, text, plain) of every row of `df` with a text.
-
-    Words that allow several readings are gathered over all rows, looked up in the vocabulary of all words of `df`, and the
-    chosen readings go back to the rows that hold such words. The vocabulary never leaves its partitions unless the
-    undecided words are too many to be sent to them; Spark decides that by the size of the staged table.
-    """
-    ship(df.sparkSession)
-    base = df.select(*keys, F.col(text).alias("text")).where("text is not null")
-    odd = base.where(F.col("text").rlike(SUSPECT))
-    words = stage(odd.select("text").mapInArrow(undecided, "word string, reading string, k int").groupBy("word", "reading").agg(F.min("k").alias("k")))
-    vocabulary = base.select(F.explode(F.split("text", r"[^\p{L}\p{M}]+")).alias("reading"))
-    known = vocabulary.join(words.select("reading").distinct(), "reading", "left_semi").groupBy("reading").agg(F.count("*").alias("n"))
-    best = words.join(known, "reading", "left").groupBy("word").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.col("k")).alias("k"), "reading")).alias("x")).select("word", F.col("x.reading").alias("reading"))
-    marked = odd.select(*keys, "text", F.array_distinct(_words_udf("text")).alias("words"))
-    row = [F.col(k) for k in keys]
-    plans = marked.where(F.size("words") > 0).select(*row, "text", F.explode("words").alias("word")).join(best, "word").groupBy(*keys, "text").agg(F.map_from_entries(F.collect_set(F.struct("word", "reading"))).alias("chosen"))
-    told = plans.select(*keys, "text", _chosen_udf("text", F.to_json("chosen")).alias("plain"))
-    rest = base.select(*keys, "text", plain("text").alias("plain"), F.when(F.col("text").rlike(SUSPECT), F.size(_words_udf(F.when(F.col("text").rlike(SUSPECT), F.col("text"))))).alias("n")).where("coalesce(n, 0) <= 0").drop("n")
-    return rest.unionByName(told)
+@F.pandas_udf(T.StructType([T.StructField("squashed", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))]))
+def _look_udf(s: pd.Series) -> pd.DataFrame:
+    """Each text after the steps that look at single characters, and its words that need repair."""
+    squashed = [squash(t) for t in s]
+    return pd.DataFrame({"squashed": squashed, "words": [sorted({w for w in _WORD.findall(t) if _MIXED.search(w) and _odd(w)}) for t in squashed]})
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _words_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else sorted({w for w in _WORD.findall(squash(t)) if len(readings(w)) > 1}))
+def _readings_udf(s: pd.Series) -> pd.Series:
+    return s.map(readings)
 
 
 @F.pandas_udf(T.StringType())
-def _chosen_udf(text: pd.Series, chosen: pd.Series) -> pd.Series:
-    import json
+def _chosen_udf(squashed: pd.Series, words: pd.Series, chosen: pd.Series) -> pd.Series:
+    out = []
+    for t, w, c in zip(squashed, words, chosen):
+        if w is not None and len(w):
+            to = dict(zip(w, c))
+            t = _WORD.sub(lambda m: to.get(m[0], m[0]), t)  # noqa: B023
+        out.append(t.replace("ӏ", PALOCHKA))
+    return pd.Series(out, dtype=object)
+
+
+def decided(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, text, plain, step) of the rows of `df` whose text may need repair; all others are in plain form.
+
+    The words to repair are gathered over all rows, and their single-script readings are looked up in the vocabulary: the words
+    of all rows that need no repair, without regard to case. Step `vocabulary`: a word is replaced by the reading that is most
+    frequent there. Step `definition`: where none is, the plain form allows no mixed word all the same, so the likeliest
+    reading is taken. A row's step is the last one that any of its words needs, `characters` if only single characters are
+    replaced, `none` if nothing is. Words and readings stay distributed; only rows that hold such words are joined.
+    """
+    ship(df.sparkSession)
+    base = df.select(*keys, F.col(text).alias("text")).where("text is not null")
+    looked = stage(base.where(F.col("text").rlike(SUSPECT)).select(*keys, "text", _look_udf("text").alias("x"), F.monotonically_increasing_id().alias("rid")).select(*keys, "text", "rid", "x.*"))
+    words = stage(looked.select(F.explode("words").alias("word")).distinct().select("word", F.posexplode(_readings_udf("word")).alias("k", "reading")))
+    tokens = base.select("text").unionByName(looked.where("text <> squashed").select(F.col("squashed").alias("text"))).select(F.explode(F.split("text", r"[^\p{L}\p{M}|1]+")).alias("token"))
+    wanted = words.select(F.lower("reading").alias("low")).distinct()
+    known = tokens.withColumn("low", F.lower("token")).join(wanted, "low", "left_semi").groupBy("token", "low").agg(F.count("*").alias("n"))
+    known = known.join(words.select(F.col("word").alias("token")).distinct(), "token", "left_anti").groupBy("low").agg(F.sum("n").alias("n"))
+    order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.col("k")).alias("k"), "reading")
+    best = words.withColumn("low", F.lower("reading")).join(known, "low", "left").groupBy("word").agg(F.max(order).alias("x")).select("word", F.col("x.reading").alias("reading"), (F.col("x.n") > 0).alias("known"))
+    picks = looked.select("rid", F.explode("words").alias("word")).join(stage(best), "word").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("word", "reading", "known"))).alias("c"))  # words of one row
+    told = looked.drop("words").join(picks, "rid", "left")
+    step = F.when(F.exists("c", lambda c: ~c["known"]), "definition").when(F.col("c").isNotNull(), "vocabulary").when(F.col("text") != F.col("plain"), "characters").otherwise("none")
+    return told.select(*keys, "text", "c", _chosen_udf("squashed", F.col("c.word"), F.col("c.reading")).alias("plain")).select(*keys, "text", "plain", step.alias("step"))
+
 
-    return pd.Series([plain_text(t, json.loads(c)) for t, c in zip(text, chosen)], dtype=object)
+def repair(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, text, plain, step) of every row of `df` with a text; see `decided`."""
+    rest = df.select(*keys, F.col(text).alias("text")).where("text is not null").where(~F.col("text").rlike(SUSPECT))
+    return rest.select(*keys, "text", F.col("text").alias("plain"), F.lit("none").alias("step")).unionByName(decided(df, keys, text))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,9 +233,14 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(table_name, row_key) of texts that aren't equal to their plain form, once per key."""
-    return repair(texts(spark, sf_dir), ["table_name", "row_key"], "text").where("text <> plain and row_key is not null").select("table_name", "row_key").distinct()
+    return decided(texts(spark, sf_dir), ["table_name", "row_key"], "text").where("text <> plain and row_key is not null").select("table_name", "row_key").distinct()
 
 
 def p5_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(table_name, row_key, plain) of every text, once per key and text."""
     return repair(texts(spark, sf_dir), ["table_name", "row_key"], "text").select("table_name", "row_key", "plain").distinct()
+
+
+def p5_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, step, n_texts): how many texts need which step at last; see `decided`."""
+    return repair(texts(spark, sf_dir), ["table_name", "row_key"], "text").groupBy("table_name", "step").agg(F.count("*").alias("n_texts"))

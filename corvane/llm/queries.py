@@ -36,7 +36,7 @@ MODULES = {
     "tokens": ("p7_ids",),
     "minhash": ("p1_found", "p1_groups"),
     "overlap": ("p2_found", "p2_counterparts", "p2_counts"),
-    "plain": ("p5_found", "p5_plain"),
+    "plain": ("p5_found", "p5_plain", "p5_steps"),
     "votes": ("p3_found", "p3_consensus", "p3_reliability"),
     "splits": ("p4_found", "p4_assignment", "p4_shares"),
 }

@@ -71,6 +71,17 @@ def test_repair_uses_the_vocabulary(spark):
     assert got == {"a": "capa", "b": "capa by capa", "d": ""}
 
 
+def test_the_vocabulary_decides_and_says_so(spark):
+    mixed = "cара"  # a Latin letter before three Cyrillic ones; all have look-alikes
+    for other, want, step in (("capa capa", "capa", "vocabulary"), ("сара Сара", "сара", "vocabulary"), ("xx", "сара", "definition"), ("", "сара", "definition")):
+        df = spark.createDataFrame([("a", mixed), ("b", other), ("c", "на\u200bша"), ("d", None)], "k string, text string")
+        got = {r.k: (r.plain, r.step) for r in plain.repair(df, ["k"], "text").collect()}
+        assert got["a"] == (want, step) and got["c"] == ("наша", "characters") and got["b"][1] == "none" and "d" not in got
+    df = spark.createDataFrame([("a", "Чӏара"), ("b", "Чӏара")], "k string, text string")  # a word doesn't vouch for itself
+    assert {(r.plain, r.step) for r in plain.repair(df, ["k"], "text").collect()} == {("ЧӀара", "definition")}
+    assert plain.repair(df.limit(0), ["k"], "text").count() == 0
+
+
 def test_p5_found_is_the_brute_force(spark):
     got = {(r.table_name, r.row_key) for r in plain.p5_found(spark, SF).collect()}
     want = {(r.table_name, r.row_key) for r in plain.texts(spark, SF).collect() if r.text is not None and plain.plain_text(r.text) != r.text}
