@@ -205,7 +205,8 @@ def decided(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     words = stage(looked.select(F.explode("words").alias("word")).distinct().select("word", F.posexplode(_readings_udf("word")).alias("k", "reading")))
     tokens = base.select("text").unionByName(looked.where("text <> squashed").select(F.col("squashed").alias("text"))).select(F.explode(F.split("text", r"[^\p{L}\p{M}|1]+")).alias("token"))
     wanted = words.select(F.lower("reading").alias("low")).distinct()
-    known = tokens.withColumn("low", F.lower("token")).join(wanted, "low", "left_semi").groupBy("token", "low").agg(F.count("*").alias("n"))
+    counted = tokens.groupBy("token").agg(F.count("*").alias("n")).withColumn("low", F.lower("token"))
+    known = counted.join(wanted, "low", "left_semi")
     known = known.join(words.select(F.col("word").alias("token")).distinct(), "token", "left_anti").groupBy("low").agg(F.sum("n").alias("n"))
     order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.col("k")).alias("k"), "reading")
     best = words.withColumn("low", F.lower("reading")).join(known, "low", "left").groupBy("word").agg(F.max(order).alias("x")).select("word", F.col("x.reading").alias("reading"), (F.col("x.n") > 0).alias("known"))
