@@ -5,8 +5,9 @@ it gives option v where t is right). Tasks' answers, contributors' communities a
 variational updates, tasks with a gold answer being fixed. A contributor's own matrix is the community's, moved by their own
 votes: PRIOR_VOTES votes' worth of the community's behaviour stabilise contributors with few votes.
 
-The tables of tasks and contributors stay distributed; only the matrices (communities x option lists x options squared) reach
-the driver. Option lists beyond the MAX_LISTS most voted ones share a matrix by their number of options.
+All tables stay distributed, those of the matrices too: a step joins the votes with two of them, sums in Arrow batches what the
+votes say of tasks, contributors or lists before anything is shuffled, and settles the sums. Only a few sums a step reach the
+driver.
 
 Defined results: a vote counts if flagged_spam is false (null isn't), it is the contributor's latest on the task among those
 (ties by loaded_at, then id), and its value names an option; votes without task, contributor or value don't count. Options that
@@ -15,7 +16,13 @@ differ only in spelling are the first of them. A task without options has no ans
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.session import ship, stage, table
@@ -24,7 +31,6 @@ from corvane.session import ship, stage, table
 START = (0.9, 0.65, 0.4, 0.15)
 PRIOR_VOTES = 8.0
 ROUNDS, TOLERANCE = 12, 1e-3
-MAX_LISTS = 256
 MIN_VOTES = 3
 
 
@@ -52,108 +58,301 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
 
 
-class Model:
-    """The inferred tables: tasks (task_id, list, p array) and contributors (contributor_id, q array)."""
-
-    def __init__(self, tasks: DataFrame, contributors: DataFrame, votes: DataFrame, matrices: dict[str, np.ndarray]) -> None:
-        self.tasks, self.contributors, self.votes, self.matrices = tasks, contributors, votes, matrices
-
-
-def _prior(n: int, width: int) -> np.ndarray:
+def _prior(n: int) -> np.ndarray:
     """Pseudo-votes (communities, t, v) of a list of n options."""
-    out = np.full((len(START), width, width), 1e-3)
+    out = np.empty((len(START), n, n))
     for c, right in enumerate(START):
-        right = right if c < 2 else 1 / n if c == 2 else right
-        out[c, :n, :n] = (1 - right) / max(n - 1, 1)
+        right = 1 / n if c == 2 else right
+        out[c] = (1 - right) / max(n - 1, 1)
         out[c, range(n), range(n)] = right
     return out * 4
 
 
-def _softmax(parts: list[Column]) -> Column:
-    top = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    e = [F.exp(x - top) for x in parts]
-    return F.array(*[x / sum(e[1:], e[0]) for x in e])
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+#: Rows that steps hand on: a sum (of numbers in `vec`) that belongs to a task, a contributor or an option of a list.
+PART = "kind int, key string, list long, v int, n int, g int, vec array<double>"
+PART_SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.string()), ("list", pa.int64()), ("v", pa.int32()), ("n", pa.int32()), ("g", pa.int32()), ("vec", pa.list_(pa.float64()))])
+TASK, WHO, OPTION, PRIOR = range(4)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0), pa.float64()))
+
+
+def _parts(rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of rows (kind, key, list, v, n, g, vec)."""
+    cols = list(zip(*rows)) or [()] * 7
+    return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols[:6], PART_SCHEMA)), _lists(list(cols[6]))], schema=PART_SCHEMA)
+
+
+def _square(col: pa.Array, some: np.ndarray) -> np.ndarray:
+    """The lists of some rows, all of one length, as rows of numbers."""
+    return pc.list_flatten(col.take(pa.array(some))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), -1)
+
+
+def _added(codes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of `x` summed by code: (first row of each code, sums)."""
+    order = np.argsort(codes, kind="stable")
+    cut = np.flatnonzero(np.append(True, codes[order][1:] != codes[order][:-1]))
+    return order[cut], np.add.reduceat(x[order], cut, axis=0)
+
+
+def _emit(kind: int, b: pa.RecordBatch, some: np.ndarray, by: tuple[str, ...], x: np.ndarray) -> pa.RecordBatch:
+    """Sums of `x` by the columns `by` of some rows of a batch of votes, as rows of PART."""
+    t = b.take(pa.array(some))
+    codes = np.zeros(len(some), np.int64)
+    for name in by:
+        d = pc.dictionary_encode(t.column(name))
+        codes = codes * max(len(d.dictionary), 1) + d.indices.to_numpy()
+    first, sums = _added(codes, x)
+    t = t.take(pa.array(first))
+    key = t.column({TASK: "task_id", WHO: "contributor_id"}[kind]) if kind in (TASK, WHO) else pc.cast(t.column("list"), pa.string())
+    v = t.column("v") if "v" in by else pa.array([-1] * len(first), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(first), pa.int32()), key, t.column("list"), v, t.column("n"), t.column("g"), _lists(list(sums))], schema=PART_SCHEMA)
+
+
+def _by_size(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    n = b.column("n").to_numpy()
+    for k in np.unique(n):
+        yield int(k), np.flatnonzero(n == k)
+
+
+def _named(v: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((len(v), n))
+    out[np.arange(len(v)), v] = 1
+    return out
+
+
+def _first_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes -> what they say of their tasks at first: the options' shares, and the votes for each option."""
+    for b in batches:
+        for n, some in _by_size(b):
+            hot = _named(b.column("v").to_numpy()[some], n)
+            yield _emit(TASK, b, some, ("task_id",), np.concatenate([1.5 * hot, hot], axis=1))
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes with q and e -> what they say of their tasks, given the contributors' communities."""
+    for b in batches:
+        for n, some in _by_size(b):
+            q, e = _square(b.column("q"), some), _square(b.column("e"), some).reshape(len(some), len(START), n)
+            x = np.einsum("mc,mcn->mn", q, e)
+            yield _emit(TASK, b, some, ("task_id",), np.concatenate([x, _named(b.column("v").to_numpy()[some], n)], axis=1))
+
+
+@cache
+def _start(n: int) -> np.ndarray:
+    """(v, communities, t): what the communities' matrices are before any vote."""
+    alpha = _prior(n)
+    return (_digamma(alpha) - _digamma(alpha.sum(axis=2, keepdims=True))).transpose(2, 0, 1)
+
+
+def _about_who(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes with p and e (if there are matrices yet) -> what they say of their contributors' communities."""
+    for b in batches:
+        for n, some in _by_size(b):
+            e = _square(b.column("e"), some).reshape(len(some), len(START), n) if "e" in b.schema.names else _start(n)[b.column("v").to_numpy()[some]]
+            yield _emit(WHO, b, some, ("contributor_id",), np.einsum("mn,mcn->mc", _square(b.column("p"), some), e))
+
+
+def _about_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes with p and q -> what they say of the matrices and of the options' shares."""
+    for b in batches:
+        for n, some in _by_size(b):
+            p, q = _square(b.column("p"), some), _square(b.column("q"), some)
+            yield _emit(OPTION, b, some, ("list", "v"), (q[:, :, None] * p[:, None, :]).reshape(len(some), -1))
+            yield _emit(PRIOR, b, some, ("list",), p / b.column("n_votes").to_numpy()[some][:, None])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple]:
+    """Rows of PART sorted by `by` -> (kind, key, list, v, n, g, sum of vec) of each run; nothing but one run's sum is held."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, bool)
+        new[0] = True
+        for name in by:
+            c = b.column(name)
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+        vec = b.column("vec")
+        size = pc.list_value_length(vec).to_numpy()
+        out: list = [None] * len(starts)
+        for k in np.unique(size):
+            some = np.flatnonzero(size == k)
+            first, sums = _added(run[some], _square(vec, some))
+            for at, s in zip(run[some][first], sums):
+                out[at] = s
+        rows = [(*r, s) for r, s in zip(zip(*(b.column(i).take(pa.array(starts)).to_pylist() for i in range(6))), out)]
+        at = [PART_SCHEMA.names.index(name) for name in by]
+        if held is not None:
+            if all(held[i] == rows[0][i] for i in at):
+                rows[0] = (*rows[0][:6], rows[0][6] + held[6])
+            else:
+                yield held
+        held = rows.pop()
+        yield from rows
+    if held is not None:
+        yield held
+
+
+def _by_thousands(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    while part := list(itertools.islice(rows, 4000)):
+        yield part
+
+
+ANSWER = "task_id string, list long, n int, g int, n_votes double, n_each array<double>, p array<double>"
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is known of tasks, sorted by task -> (task_id, list, n, g, n_votes, n_each, p)."""
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+    for rows in _by_thousands(_runs(batches, ("key",))):
+        for n in {r[4] for r in rows}:
+            mine = [r for r in rows if r[4] == n]
+            x = np.stack([r[6] for r in mine])
+            p, g = _softmax(x[:, :n]), np.array([-1 if r[5] is None else r[5] for r in mine])
+            p[g >= 0] = _named(g[g >= 0], n)
+            cols = list(zip(*[(r[1], r[2], n, r[5], each.sum()) for r, each in zip(mine, x[:, n:])]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), _lists(list(x[:, n:])), _lists(list(p))], ["task_id", "list", "n", "g", "n_votes", "n_each", "p"])
+
+
+def _communities(mass: np.ndarray):
+    """Sums of contributors, sorted -> (WHO, contributor, q) and one row with the communities' sizes in this task."""
+    rho = _digamma(mass) - _digamma(mass.sum())
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(START))
+        for rows in _by_thousands(_runs(batches, ("key",))):
+            q = _softmax(np.stack([r[6] for r in rows]) + rho)
+            total += q.sum(axis=0)
+            yield _parts([(WHO, r[1], None, None, None, None, x) for r, x in zip(rows, q)])
+        yield _parts([(TASK, None, None, None, None, None, total)])
+
+    return settle
+
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of lists, sorted by list, kind and option -> (OPTION, list, v, e and mean) of each option named, (PRIOR, list, logarithmic
+    shares of its options), and one row with the communities' votes for the right option and in all. One list's sums are held."""
+    total, held, at = np.zeros(2 * len(START)), {}, None
+
+    def close() -> list[tuple]:
+        if not held:
+            return []
+        n = next(iter(held.values())).shape[1]
+        alpha = _prior(n)
+        for v, x in held.items():
+            alpha[:, :, v] += x
+            total[: len(START)] += x[:, v]
+            total[len(START) :] += x.sum(axis=1)
+        e, mean = _digamma(alpha) - _digamma(alpha.sum(axis=2, keepdims=True)), alpha / alpha.sum(axis=2, keepdims=True)
+        return [(OPTION, None, at, v, n, None, np.concatenate([e[:, :, v].ravel(), mean[:, :, v].ravel()])) for v in held]
+
+    for rows in _by_thousands(_runs(batches, ("list", "kind", "v"))):
+        out = []
+        for kind, _, name, v, n, _, x in rows:
+            if name != at:
+                out += close()
+                held, at = {}, name
+            if kind == OPTION:
+                held[v] = x.reshape(len(START), n)
+            else:
+                out.append((PRIOR, None, name, None, n, None, _digamma(1 + x) - _digamma((1 + x).sum())))
+        yield _parts(out)
+    yield _parts([*close(), (TASK, None, None, None, None, None, total)])
+
+
+class Model:
+    """The inferred tables: answers (see ANSWER), contributors (contributor_id, q), matrices (list, v, e, mean), shares (list, k)
+    and the votes (task_id, contributor_id, list, n, v, g)."""
+
+    def __init__(self, votes: DataFrame, rounds: int = ROUNDS) -> None:
+        self.votes = votes
+        self.tasks = stage(votes.select("task_id", "list", "n", "g").distinct())
+        self.shares = votes.sparkSession.createDataFrame([], "list long, k array<double>")
+        self.answers = self.settle(votes.mapInArrow(_first_answers, PART))
+        mass, before = np.ones(len(START)), np.zeros(3 * len(START))
+        for k in range(rounds):
+            seen = self.votes.join(self.answers.select("task_id", "p", "n_votes"), "task_id")
+            told = seen if k == 0 else seen.join(self.matrices.select("list", "v", "e"), ["list", "v"])
+            who = told.select("task_id", "contributor_id", "list", "v", "n", "g", "p", *(["e"] if k else [])).mapInArrow(_about_who, PART)
+            who = stage(who.repartition("key").sortWithinPartitions("key").mapInArrow(_communities(mass), PART))
+            self.contributors = who.where(F.col("kind") == WHO).select(F.col("key").alias("contributor_id"), F.col("vec").alias("q"))
+            lists = seen.join(self.contributors, "contributor_id").select("task_id", "contributor_id", "list", "v", "n", "g", "p", "q", "n_votes").mapInArrow(_about_lists, PART)
+            lists = stage(lists.repartition("list").sortWithinPartitions("list", "kind", "v").mapInArrow(_matrices, PART))
+            half = lambda i: F.slice("vec", 1 + i * (F.size("vec") / 2).cast("int"), (F.size("vec") / 2).cast("int"))
+            self.matrices = lists.where(F.col("kind") == OPTION).select("list", "v", half(0).alias("e"), half(1).alias("mean"))
+            self.shares = lists.where(F.col("kind") == PRIOR).select("list", F.col("vec").alias("k"))
+            both = self.votes.join(self.contributors, "contributor_id").join(self.matrices.select("list", "v", "e"), ["list", "v"])
+            self.answers = self.settle(both.select("task_id", "contributor_id", "list", "v", "n", "g", "q", "e").mapInArrow(_answers, PART))
+            # a row of a few numbers from each task of the two steps
+            now = [sum((np.array(r.vec) for r in x.where(F.col("kind") == TASK).select("vec").collect()), np.zeros(m * len(START))) for x, m in ((who, 1), (lists, 2))]
+            mass, now = 1 + now[0], np.concatenate(now)
+            if np.abs(now - before).sum() <= TOLERANCE * max(now.sum(), 1e-9):
+                break
+            before = now
+        self.own()
+
+    def settle(self, parts: DataFrame) -> DataFrame:
+        """The tasks' answers by what votes say of them (rows of PART) and the shares of their lists' options."""
+        zeros = F.array_repeat(F.lit(0.0), F.col("n"))
+        prior = self.tasks.join(self.shares, "list", "left").select(F.lit(TASK).alias("kind"), F.col("task_id").alias("key"), "list", F.lit(-1).alias("v"), "n", "g", F.concat(F.coalesce("k", zeros), zeros).alias("vec"))
+        return stage(parts.unionByName(prior).repartition("key").sortWithinPartitions("key").mapInArrow(_settle, ANSWER))
+
+    def own(self) -> None:
+        """The last step: each contributor's own matrix, the community's being its prior, and the answers by those matrices."""
+        seen = self.votes.join(self.answers.select("task_id", "p"), "task_id")
+        counts = seen.select("task_id", "contributor_id", "list", "v", "n", "g", "p").mapInArrow(_own_counts, PART)
+        counts = counts.repartition("key", "list").sortWithinPartitions("key", "list", "v").mapInArrow(_own_totals, "contributor_id string, list long, v int, own array<double>, total array<double>")
+        told = seen.join(stage(counts), ["contributor_id", "list", "v"]).join(self.contributors, "contributor_id").join(self.matrices.select("list", "v", "mean"), ["list", "v"])
+        told = told.select("task_id", "contributor_id", "list", "v", "n", "g", "p", "q", "mean", "own", "total").mapInArrow(_own_answers, PART)
+        self.answers = self.settle(told)
+
+
+def _own_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes with p -> for which options contributors vote, by what is right."""
+    for b in batches:
+        for _, some in _by_size(b):
+            yield _emit(WHO, b, some, ("contributor_id", "list", "v"), _square(b.column("p"), some))
+
+
+def _own_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those sums, sorted by contributor, list and option, with the totals of all options; one contributor's sums of one list are held."""
+
+    def rows() -> Iterator[tuple]:
+        for _, mine in itertools.groupby(_runs(batches, ("key", "list", "v")), key=lambda r: (r[1], r[2])):
+            mine = list(mine)
+            total = sum(r[6] for r in mine)
+            yield from ((r[1], r[2], r[3], r[6], total) for r in mine)
+
+    for part in _by_thousands(rows()):
+        who, name, v, own, total = zip(*part)
+        yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(name, pa.int64()), pa.array(v, pa.int32()), _lists(list(own)), _lists(list(total))], ["contributor_id", "list", "v", "own", "total"])
+
+
+def _own_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes with all of that -> what they say of their tasks. A vote's own task is left out of its contributor's matrix, else it confirms itself."""
+    for b in batches:
+        for n, some in _by_size(b):
+            p, own, total, q = (_square(b.column(c), some) for c in ("p", "own", "total", "q"))
+            base = np.einsum("mc,mcn->mn", q, _square(b.column("mean"), some).reshape(len(some), len(START), n))
+            x = np.log((np.maximum(own - p, 0) + PRIOR_VOTES * base + 1e-6) / (np.maximum(total - p, 0) + PRIOR_VOTES))
+            yield _emit(TASK, b, some, ("task_id",), np.concatenate([x, _named(b.column("v").to_numpy()[some], n)], axis=1))
 
 
 def infer(votes: DataFrame, gold: DataFrame, rounds: int = ROUNDS) -> Model:
     """Fit the model to counted votes (see `counted`); gold (task_id, g): the place of the right option where it is known."""
-    spark, C = votes.sparkSession, len(START)
-    sizes = votes.groupBy("list", "n_options").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "list").limit(MAX_LISTS).collect()
-    pools = [r[0] for r in votes.select("n_options").distinct().collect()]  # a row per number of options
-    width = max([1, *pools])
-    lists = {r["list"]: r.n_options for r in sizes} | {f"#{n}": n for n in pools}
-    keep = F.col("list").isin(*[r["list"] for r in sizes]) if sizes else F.lit(False)
-    votes = stage(votes.withColumn("list", F.when(keep, F.col("list")).otherwise(F.concat(F.lit("#"), F.col("n_options").cast("string")))).join(gold, "task_id", "left"))
-
-    def fixed(parts: list[Column]) -> Column:
-        return F.when(F.col("g").isNull(), _softmax(parts)).otherwise(F.array(*[(F.col("g") == t).cast("double") for t in range(width)]))
-
-    alpha = {k: _prior(n, width) for k, n in lists.items()}
-    mass = np.ones(C)
-
-    def tables(kappa: dict[str, np.ndarray]) -> tuple[DataFrame, DataFrame]:
-        rows, priors = [], []
-        for k, a in alpha.items():
-            e = _digamma(a) - _digamma(a[:, :, : lists[k]].sum(axis=2, keepdims=True))
-            rows += [(k, v, e[:, :, v].tolist()) for v in range(lists[k])]
-            p = np.where(np.arange(width) < lists[k], _digamma(kappa[k]) - _digamma(kappa[k][: lists[k]].sum()), -1e6)
-            priors.append((k, p.tolist()))
-        return F.broadcast(spark.createDataFrame(rows, "list string, v int, e array<array<double>>")), F.broadcast(spark.createDataFrame(priors, "list string, k array<double>"))
-
-    # first answers: the votes' shares
-    share = [F.sum((F.col("v") == t).cast("double")) * 1.5 for t in range(width)]
-    valid = [F.when(F.max("n_options") > t, F.lit(0.0)).otherwise(F.lit(-1e6)) for t in range(width)]
-    tasks = votes.groupBy("task_id").agg(F.max("list").alias("list"), F.max("g").alias("g"), *[(s + x).alias(f"l{t}") for t, (s, x) in enumerate(zip(share, valid))])
-    tasks = stage(tasks.select("task_id", "list", "g", fixed([F.col(f"l{t}") for t in range(width)]).alias("p")))
-    contributors, kappa = None, {k: np.ones(width) for k in lists}
-    for _ in range(rounds):
-        e, _k = tables(kappa)
-        seen = votes.join(tasks.select("task_id", "p"), "task_id")
-        like = seen.join(e, ["list", "v"])
-        score = [F.sum(sum((F.col("p")[t] * F.col("e")[c][t] for t in range(1, width)), F.col("p")[0] * F.col("e")[c][0])).alias(f"s{c}") for c in range(C)]
-        rho = _digamma(mass) - _digamma(mass.sum())
-        contributors = stage(like.groupBy("contributor_id").agg(*score).select("contributor_id", _softmax([F.col(f"s{c}") + float(rho[c]) for c in range(C)]).alias("q")))
-        both = stage(seen.join(contributors, "contributor_id").select("task_id", "list", "n_options", "v", "g", "p", "q"))
-        sums = both.groupBy("list", "v").agg(*[F.sum(F.col("q")[c] * F.col("p")[t]).alias(f"x{c}_{t}") for c in range(C) for t in range(width)]).collect()
-        old, alpha = alpha, {k: _prior(n, width) for k, n in lists.items()}
-        for r in sums:
-            for c in range(C):
-                for t in range(width):
-                    alpha[r["list"]][c, t, r.v] += r[f"x{c}_{t}"]
-        mass = 1 + np.array(contributors.agg(*[F.coalesce(F.sum(F.col("q")[c]), F.lit(0.0)) for c in range(C)]).first(), float)
-        for r in tasks.groupBy("list").agg(*[F.sum(F.col("p")[t]).alias(f"k{t}") for t in range(width)]).collect():
-            kappa[r["list"]] = 1 + np.array([r[f"k{t}"] for t in range(width)])
-        e, k = tables(kappa)
-        logit = [F.sum(sum((F.col("q")[c] * F.col("e")[c][t] for c in range(1, C)), F.col("q")[0] * F.col("e")[0][t])).alias(f"l{t}") for t in range(width)]
-        tasks = stage(both.join(e, ["list", "v"]).groupBy("task_id", "list", "g").agg(*logit).join(k, "list").select("task_id", "list", "g", fixed([F.col(f"l{t}") + F.col("k")[t] for t in range(width)]).alias("p")))
-        moved = max((np.abs(alpha[x] - old[x]).sum() / alpha[x].sum() for x in alpha), default=0)
-        if moved < TOLERANCE:
-            break
-    mean = {k: a / a[:, :, : lists[k]].sum(axis=2, keepdims=True) for k, a in alpha.items()}
-    if contributors is None:
-        contributors = votes.select("contributor_id", F.array(*[F.lit(1 / C)] * C).alias("q")).distinct()
-    return _own(Model(tasks, contributors, votes, mean), width, fixed, kappa, lists)
-
-
-def _own(m: Model, width: int, fixed, kappa: dict[str, np.ndarray], lists: dict[str, int]) -> Model:
-    """The last step: each contributor's own matrix, the community's being its prior, and the answers by those matrices."""
-    spark, C = m.votes.sparkSession, len(START)
-    rows = [(k, v, a[:, :, v].tolist()) for k, a in m.matrices.items() for v in range(lists[k])]
-    mean = F.broadcast(spark.createDataFrame(rows, "list string, v int, m array<array<double>>"))
-    prior = F.broadcast(spark.createDataFrame([(k, np.where(np.arange(width) < lists[k], np.log(np.maximum(kappa[k], 1e-9) / kappa[k][: lists[k]].sum()), -1e6).tolist()) for k in lists], "list string, k array<double>"))
-    seen = stage(m.votes.join(m.tasks.select("task_id", "p"), "task_id").join(m.contributors, "contributor_id"))
-    own = seen.groupBy("contributor_id", "list", "v").agg(*[F.sum(F.col("p")[t]).alias(f"n{t}") for t in range(width)])
-    total = seen.groupBy("contributor_id", "list").agg(*[F.sum(F.col("p")[t]).alias(f"d{t}") for t in range(width)])
-    like = seen.join(own, ["contributor_id", "list", "v"]).join(total, ["contributor_id", "list"]).join(mean, ["list", "v"])
-
-    def given(t: int) -> Column:  # without the vote's own task, else a vote confirms itself
-        base = sum((F.col("q")[c] * F.col("m")[c][t] for c in range(1, C)), F.col("q")[0] * F.col("m")[0][t])
-        return F.log((F.greatest(F.col(f"n{t}") - F.col("p")[t], F.lit(0.0)) + PRIOR_VOTES * base + 1e-6) / (F.greatest(F.col(f"d{t}") - F.col("p")[t], F.lit(0.0)) + PRIOR_VOTES))
-
-    tasks = like.groupBy("task_id", "list", "g").agg(*[F.sum(given(t)).alias(f"l{t}") for t in range(width)], F.count("*").alias("n_votes"), F.array(*[F.sum((F.col("v") == t).cast("long")) for t in range(width)]).alias("n_each"))
-    m.tasks = tasks.join(prior, "list").select("task_id", "n_votes", "n_each", fixed([F.col(f"l{t}") + F.col("k")[t] for t in range(width)]).alias("p"))
-    m.votes = seen
-    return m
+    votes = stage(votes)
+    lists = stage(votes.select("list").distinct().select("list", F.monotonically_increasing_id().alias("number")))
+    full = votes.join(lists, "list").join(gold, "task_id", "left")
+    return Model(stage(full.select("task_id", "contributor_id", F.col("number").alias("list"), F.col("n_options").alias("n"), "v", "g")), rounds)
 
 
 def gold_places(tasks: DataFrame) -> DataFrame:
@@ -169,7 +368,7 @@ def consensus(votes: DataFrame, tasks: DataFrame) -> DataFrame:
     m = infer(counted(votes, tasks), gold_places(tasks))
     best = (F.array_position("p", F.array_max("p")) - 1).cast("int")
     options = tasks.where("id is not null and options is not null").groupBy(F.col("id").alias("task_id")).agg(F.max("options").alias("options"))
-    top = m.tasks.select("task_id", "n_votes", "n_each", "p", best.alias("best")).join(options, "task_id")
+    top = m.answers.select("task_id", F.col("n_votes").cast("long").alias("n_votes"), "n_each", "p", best.alias("best")).join(options, "task_id")
     return top.select("task_id", F.col("options")[F.col("best")].alias("value"), "n_votes", (F.col("n_each")[F.col("best")] / F.col("n_votes")).alias("agreement"), F.array_max("p").alias("confidence"))
 
 
@@ -189,6 +388,7 @@ def p3_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "gold_set")
     m = infer(counted(table(spark, sf_dir, "validation_votes"), tasks), gold_places(tasks))
     right = F.col("p")[F.col("v")]
-    mean = m.votes.agg(F.avg(right)).first()[0] or 0.0
-    per = m.votes.groupBy("contributor_id").agg(F.count("*").alias("n_votes"), F.sum(right).alias("right"), F.first("q").alias("q"))
+    seen = m.votes.join(m.answers.select("task_id", "p"), "task_id")
+    mean = seen.agg(F.avg(right)).first()[0] or 0.0
+    per = seen.groupBy("contributor_id").agg(F.count("*").alias("n_votes"), F.sum(right).alias("right")).join(m.contributors, "contributor_id")
     return per.select("contributor_id", "n_votes", ((F.col("right") + PRIOR_VOTES * mean) / (F.col("n_votes") + PRIOR_VOTES)).alias("reliability"), (F.array_position("q", F.array_max("q")) - 1).cast("int").alias("community"))

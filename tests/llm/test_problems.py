@@ -265,6 +265,31 @@ def test_consensus_beats_the_majority_and_keeps_gold(spark):
     assert all(0 <= r.agreement <= 1 and 0 < r.confidence <= 1 and r.n_votes == 5 for r in got.values())
 
 
+def test_many_lists_and_a_long_one(spark):
+    rng = random.Random(11)
+    good, bad, truth, rows, tasks = [f"g{k}" for k in range(5)], [f"b{k}" for k in range(5)], {}, [], []
+    for k in range(600):  # 300 lists of three options, and one of 200
+        options = [f"{k // 2}-{x}" for x in "abc"] if k < 560 else [f"o{x}" for x in range(200)]
+        t = f"t{k:03d}"
+        truth[t] = rng.choice(options)
+        tasks.append((t, options, k % 5 == 0, truth[t] if k % 5 == 0 else None))
+        for c in rng.sample(good, 3) + rng.sample(bad, 2):
+            rows.append((t, c, truth[t] if rng.random() < (0.95 if c in good else 0.4) else rng.choice(options), False, 1))
+    got = {r.task_id: r.value for r in votes.consensus(_votes(spark, rows), spark.createDataFrame(tasks, TASKS)).collect()}
+    assert len(got) == 600 and sum(got[t] == v for t, v in truth.items()) > 0.95 * 600
+    assert all(got[t] == g for t, _, is_gold, g in tasks if is_gold)
+
+
+def test_runs_of_a_task_may_cross_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(votes.TASK, key, 7, -1, n, None, np.full(n, float(k))) for k, (key, n) in enumerate([("a", 2)] * 5 + [("b", 3)] * 3 + [("c", 2)])]
+    for size in (1, 2, 4, 9):
+        got = list(votes._runs(iter([votes._parts(rows[k : k + size]) for k in range(0, 9, size)]), ("key",)))
+        assert [(r[1], r[6].tolist()) for r in got] == [("a", [10.0] * 2), ("b", [18.0] * 3), ("c", [8.0] * 2)]
+
+
 def test_consensus_of_nothing(spark):
     tasks = spark.createDataFrame([("t", ["a"], False, None)], TASKS)
     assert votes.consensus(_votes(spark, [("t", "a", "a", True, 1)]), tasks).count() == 0
