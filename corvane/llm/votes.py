@@ -74,9 +74,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 #: Rows that steps hand on: a sum (of numbers in `vec`) that belongs to a task, a contributor or an option of a list.
-PART = "kind int, key string, list long, v int, n int, g int, vec array<double>"
-PART_SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.string()), ("list", pa.int64()), ("v", pa.int32()), ("n", pa.int32()), ("g", pa.int32()), ("vec", pa.list_(pa.float64()))])
-TASK, WHO, OPTION, PRIOR = range(4)
+PART = "kind int, key string, list long, v int, n int, g int, vec array<double>, who string"
+PART_SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.string()), ("list", pa.int64()), ("v", pa.int32()), ("n", pa.int32()), ("g", pa.int32()), ("vec", pa.list_(pa.float64())), ("who", pa.string())])
+TASK, WHO, OPTION, PRIOR, VOTE = range(5)
+BASE = ("task_id", "contributor_id", "list", "v", "n", "g")
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -87,7 +88,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def _parts(rows: list[tuple]) -> pa.RecordBatch:
     """A batch of rows (kind, key, list, v, n, g, vec)."""
     cols = list(zip(*rows)) or [()] * 7
-    return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols[:6], PART_SCHEMA)), _lists(list(cols[6]))], schema=PART_SCHEMA)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols[:6], PART_SCHEMA)), _lists(list(cols[6])), pa.nulls(len(rows), pa.string())], schema=PART_SCHEMA)
 
 
 def _square(col: pa.Array, some: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def _emit(kind: int, b: pa.RecordBatch, some: np.ndarray, by: tuple[str, ...], x
     t = t.take(pa.array(first))
     key = t.column({TASK: "task_id", WHO: "contributor_id"}[kind]) if kind in (TASK, WHO) else pc.cast(t.column("list"), pa.string())
     v = t.column("v") if "v" in by else pa.array([-1] * len(first), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(first), pa.int32()), key, t.column("list"), v, t.column("n"), t.column("g"), _lists(list(sums))], schema=PART_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(first), pa.int32()), key, t.column("list"), v, t.column("n"), t.column("g"), _lists(list(sums)), pa.nulls(len(first), pa.string())], schema=PART_SCHEMA)
 
 
 def _by_size(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -128,21 +129,30 @@ def _named(v: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _vote_rows(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The votes themselves, as rows of PART that follow their tasks' sums."""
+    none = pa.ListArray.from_arrays(pa.array(np.zeros(b.num_rows + 1), pa.int32()), pa.array([], pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array([VOTE] * b.num_rows, pa.int32()), b.column("task_id"), b.column("list"), b.column("v"), b.column("n"), b.column("g"), none, b.column("contributor_id")], schema=PART_SCHEMA)
+
+
 def _first_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Votes -> what they say of their tasks at first: the options' shares, and the votes for each option."""
     for b in batches:
         for n, some in _by_size(b):
             hot = _named(b.column("v").to_numpy()[some], n)
             yield _emit(TASK, b, some, ("task_id",), np.concatenate([1.5 * hot, hot], axis=1))
+        yield _vote_rows(b)
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Votes with q and e -> what they say of their tasks, given the contributors' communities."""
+    """Votes with q, e and k -> what they say of their tasks, given the contributors' communities. The options' shares count
+    once a task, so each of its votes brings a part of them."""
     for b in batches:
         for n, some in _by_size(b):
             q, e = _square(b.column("q"), some), _square(b.column("e"), some).reshape(len(some), len(START), n)
-            x = np.einsum("mc,mcn->mn", q, e)
+            x = np.einsum("mc,mcn->mn", q, e) + _square(b.column("k"), some) / b.column("n_votes").to_numpy()[some][:, None]
             yield _emit(TASK, b, some, ("task_id",), np.concatenate([x, _named(b.column("v").to_numpy()[some], n)], axis=1))
+        yield _vote_rows(b)
 
 
 @cache
@@ -208,21 +218,57 @@ def _by_thousands(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
 
 
 ANSWER = "task_id string, list long, n int, g int, n_votes double, n_each array<double>, p array<double>"
+RATED = "task_id string, contributor_id string, list long, v int, n int, g int, n_votes double, p array<double>"
+
+
+def _posterior(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The options' probabilities by their logarithms; where the right option is known (g is not below 0) it is certain."""
+    p = _softmax(x)
+    p[g >= 0] = _named(g[g >= 0], x.shape[1])
+    return p
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is known of tasks, sorted by task -> (task_id, list, n, g, n_votes, n_each, p)."""
+    """What is known of tasks, sorted by task -> their answers (rows of ANSWER)."""
     kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
     for rows in _by_thousands(_runs(batches, ("key",))):
         for n in {r[4] for r in rows}:
             mine = [r for r in rows if r[4] == n]
             x = np.stack([r[6] for r in mine])
-            p, g = _softmax(x[:, :n]), np.array([-1 if r[5] is None else r[5] for r in mine])
-            p[g >= 0] = _named(g[g >= 0], n)
+            p = _posterior(x[:, :n], np.array([-1 if r[5] is None else r[5] for r in mine]))
             cols = list(zip(*[(r[1], r[2], n, r[5], each.sum()) for r, each in zip(mine, x[:, n:])]))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), _lists(list(x[:, n:])), _lists(list(p))], ["task_id", "list", "n", "g", "n_votes", "n_each", "p"])
 
 
+def _rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is known of tasks and then their votes, sorted by task and kind -> the votes with their tasks' answers (rows of RATED).
+    A task's sums are complete before its first vote; only the last task's are held from batch to batch."""
+    held, last = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = pc.dictionary_encode(b.column("key"))
+        codes, names, kind, n = key.indices.to_numpy(), key.dictionary, b.column("kind").to_numpy(), b.column("n").to_numpy()
+        newest = b.column("key")[b.num_rows - 1].as_py()
+        for k in np.unique(n):
+            told, votes = np.flatnonzero((n == k) & (kind == TASK)), np.flatnonzero((n == k) & (kind == VOTE))
+            sums = np.zeros((len(names), 2 * k))
+            if len(told):
+                first, x = _added(codes[told], _square(b.column("vec"), told))
+                sums[codes[told][first]] = x
+            if last == names[0].as_py() and len(held) == 2 * k and n[0] == k:
+                sums[0] += held
+            if newest == names[len(names) - 1].as_py() and n[-1] == k:
+                tail = sums[-1]
+            if len(votes):
+                t = b.take(pa.array(votes))
+                g = t.column("g").fill_null(-1).to_numpy()
+                x = sums[codes[votes]]
+                cols = [t.column("key"), t.column("who"), *(t.column(c) for c in ("list", "v", "n", "g")), pa.array(x[:, k:].sum(axis=1)), _lists(list(_posterior(x[:, :k], g)))]
+                yield pa.RecordBatch.from_arrays(cols, ["task_id", "contributor_id", "list", "v", "n", "g", "n_votes", "p"])
+        held, last = tail, newest
+
+
 def _communities(mass: np.ndarray):
     """Sums of contributors, sorted -> (WHO, contributor, q) and one row with the communities' sizes in this task."""
     rho = _digamma(mass) - _digamma(mass.sum())
@@ -239,9 +285,9 @@ def _communities(mass: np.ndarray):
 
 
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of lists, sorted by list, kind and option -> (OPTION, list, v, e and mean) of each option named, (PRIOR, list, logarithmic
-    shares of its options), and one row with the communities' votes for the right option and in all. One list's sums are held."""
-    total, held, at = np.zeros(2 * len(START)), {}, None
+    """Sums of lists, sorted by list, kind and option -> (OPTION, list, v, e and mean, logarithmic shares of the list's options) of
+    each option named, and one row with the communities' votes for the right option and in all. One list's sums are held."""
+    total, held, share, at = np.zeros(2 * len(START)), {}, None, None
 
     def close() -> list[tuple]:
         if not held:
@@ -253,7 +299,8 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[: len(START)] += x[:, v]
             total[len(START) :] += x.sum(axis=1)
         e, mean = _digamma(alpha) - _digamma(alpha.sum(axis=2, keepdims=True)), alpha / alpha.sum(axis=2, keepdims=True)
-        return [(OPTION, None, at, v, n, None, np.concatenate([e[:, :, v].ravel(), mean[:, :, v].ravel()])) for v in held]
+        k = _digamma(1 + share) - _digamma((1 + share).sum())
+        return [(OPTION, None, at, v, n, None, np.concatenate([e[:, :, v].ravel(), mean[:, :, v].ravel(), k])) for v in held]
 
     for rows in _by_thousands(_runs(batches, ("list", "kind", "v"))):
         out = []
@@ -264,34 +311,28 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == OPTION:
                 held[v] = x.reshape(len(START), n)
             else:
-                out.append((PRIOR, None, name, None, n, None, _digamma(1 + x) - _digamma((1 + x).sum())))
+                share = x
         yield _parts(out)
     yield _parts([*close(), (TASK, None, None, None, None, None, total)])
 
 
 class Model:
-    """The inferred tables: answers (see ANSWER), contributors (contributor_id, q), matrices (list, v, e, mean), shares (list, k)
-    and the votes (task_id, contributor_id, list, n, v, g)."""
+    """The inferred tables: rated votes (see RATED), contributors (contributor_id, q), matrices (list, v, e, mean, k) and answers (see ANSWER)."""
 
     def __init__(self, votes: DataFrame, rounds: int = ROUNDS) -> None:
-        self.votes = votes
-        self.tasks = stage(votes.select("task_id", "list", "n", "g").distinct())
-        self.shares = votes.sparkSession.createDataFrame([], "list long, k array<double>")
-        self.answers = self.settle(votes.mapInArrow(_first_answers, PART))
+        self.votes = self.rate(votes.mapInArrow(_first_answers, PART))
         mass, before = np.ones(len(START)), np.zeros(3 * len(START))
         for k in range(rounds):
-            seen = self.votes.join(self.answers.select("task_id", "p", "n_votes"), "task_id")
-            told = seen if k == 0 else seen.join(self.matrices.select("list", "v", "e"), ["list", "v"])
-            who = told.select("task_id", "contributor_id", "list", "v", "n", "g", "p", *(["e"] if k else [])).mapInArrow(_about_who, PART)
+            told = self.votes if k == 0 else self.votes.join(self.matrices.select("list", "v", "e"), ["list", "v"])
+            who = told.select(*BASE, "p", *(["e"] if k else [])).mapInArrow(_about_who, PART)
             who = stage(who.repartition("key").sortWithinPartitions("key").mapInArrow(_communities(mass), PART))
             self.contributors = who.where(F.col("kind") == WHO).select(F.col("key").alias("contributor_id"), F.col("vec").alias("q"))
-            lists = seen.join(self.contributors, "contributor_id").select("task_id", "contributor_id", "list", "v", "n", "g", "p", "q", "n_votes").mapInArrow(_about_lists, PART)
+            lists = self.votes.join(self.contributors, "contributor_id").select(*BASE, "p", "q", "n_votes").mapInArrow(_about_lists, PART)
             lists = stage(lists.repartition("list").sortWithinPartitions("list", "kind", "v").mapInArrow(_matrices, PART))
-            half = lambda i: F.slice("vec", 1 + i * (F.size("vec") / 2).cast("int"), (F.size("vec") / 2).cast("int"))
-            self.matrices = lists.where(F.col("kind") == OPTION).select("list", "v", half(0).alias("e"), half(1).alias("mean"))
-            self.shares = lists.where(F.col("kind") == PRIOR).select("list", F.col("vec").alias("k"))
-            both = self.votes.join(self.contributors, "contributor_id").join(self.matrices.select("list", "v", "e"), ["list", "v"])
-            self.answers = self.settle(both.select("task_id", "contributor_id", "list", "v", "n", "g", "q", "e").mapInArrow(_answers, PART))
+            size = F.col("n") * len(START)
+            self.matrices = lists.where(F.col("kind") == OPTION).select("list", "v", F.slice("vec", F.lit(1), size).alias("e"), F.slice("vec", 1 + size, size).alias("mean"), F.slice("vec", 1 + 2 * size, F.col("n")).alias("k"))
+            both = self.votes.join(self.contributors, "contributor_id").join(self.matrices.select("list", "v", "e", "k"), ["list", "v"])
+            self.votes = self.rate(both.select(*BASE, "n_votes", "q", "e", "k").mapInArrow(_answers, PART))
             # a row of a few numbers from each task of the two steps
             now = [sum((np.array(r.vec) for r in x.where(F.col("kind") == TASK).select("vec").collect()), np.zeros(m * len(START))) for x, m in ((who, 1), (lists, 2))]
             mass, now = 1 + now[0], np.concatenate(now)
@@ -300,20 +341,17 @@ class Model:
             before = now
         self.own()
 
-    def settle(self, parts: DataFrame) -> DataFrame:
-        """The tasks' answers by what votes say of them (rows of PART) and the shares of their lists' options."""
-        zeros = F.array_repeat(F.lit(0.0), F.col("n"))
-        prior = self.tasks.join(self.shares, "list", "left").select(F.lit(TASK).alias("kind"), F.col("task_id").alias("key"), "list", F.lit(-1).alias("v"), "n", "g", F.concat(F.coalesce("k", zeros), zeros).alias("vec"))
-        return stage(parts.unionByName(prior).repartition("key").sortWithinPartitions("key").mapInArrow(_settle, ANSWER))
+    def rate(self, parts: DataFrame) -> DataFrame:
+        """The votes with their tasks' answers, by what they say of them (rows of PART, votes included)."""
+        return stage(parts.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_rate, RATED))
 
     def own(self) -> None:
         """The last step: each contributor's own matrix, the community's being its prior, and the answers by those matrices."""
-        seen = self.votes.join(self.answers.select("task_id", "p"), "task_id")
-        counts = seen.select("task_id", "contributor_id", "list", "v", "n", "g", "p").mapInArrow(_own_counts, PART)
+        counts = self.votes.select(*BASE, "p").mapInArrow(_own_counts, PART)
         counts = counts.repartition("key", "list").sortWithinPartitions("key", "list", "v").mapInArrow(_own_totals, "contributor_id string, list long, v int, own array<double>, total array<double>")
-        told = seen.join(stage(counts), ["contributor_id", "list", "v"]).join(self.contributors, "contributor_id").join(self.matrices.select("list", "v", "mean"), ["list", "v"])
-        told = told.select("task_id", "contributor_id", "list", "v", "n", "g", "p", "q", "mean", "own", "total").mapInArrow(_own_answers, PART)
-        self.answers = self.settle(told)
+        told = self.votes.join(stage(counts), ["contributor_id", "list", "v"]).join(self.contributors, "contributor_id").join(self.matrices.select("list", "v", "mean", "k"), ["list", "v"])
+        told = told.select(*BASE, "n_votes", "p", "q", "mean", "k", "own", "total").mapInArrow(_own_answers, PART)
+        self.answers = stage(told.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, ANSWER))
 
 
 def _own_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,6 +382,7 @@ def _own_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, own, total, q = (_square(b.column(c), some) for c in ("p", "own", "total", "q"))
             base = np.einsum("mc,mcn->mn", q, _square(b.column("mean"), some).reshape(len(some), len(START), n))
             x = np.log((np.maximum(own - p, 0) + PRIOR_VOTES * base + 1e-6) / (np.maximum(total - p, 0) + PRIOR_VOTES))
+            x += _square(b.column("k"), some) / b.column("n_votes").to_numpy()[some][:, None]
             yield _emit(TASK, b, some, ("task_id",), np.concatenate([x, _named(b.column("v").to_numpy()[some], n)], axis=1))
 
 
@@ -388,7 +427,7 @@ def p3_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "gold_set")
     m = infer(counted(table(spark, sf_dir, "validation_votes"), tasks), gold_places(tasks))
     right = F.col("p")[F.col("v")]
-    seen = m.votes.join(m.answers.select("task_id", "p"), "task_id")
+    seen = m.votes.drop("p", "n_votes").join(m.answers.select("task_id", "p"), "task_id")
     mean = seen.agg(F.avg(right)).first()[0] or 0.0
     per = seen.groupBy("contributor_id").agg(F.count("*").alias("n_votes"), F.sum(right).alias("right")).join(m.contributors, "contributor_id")
     return per.select("contributor_id", "n_votes", ((F.col("right") + PRIOR_VOTES * mean) / (F.col("n_votes") + PRIOR_VOTES)).alias("reliability"), (F.array_position("q", F.array_max("q")) - 1).cast("int").alias("community"))
