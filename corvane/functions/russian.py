@@ -7,9 +7,10 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
-#: Endings by class, as the public Porter stemmer for Russian lists them, in the classes' order.
+#: Endings by class, after the public Porter stemmer for Russian, with two nouns' endings more; results depend on
+#: the values, not on their order, since the longest ending that fits is cut.
 VOWELS = "аеиоуыэюя"
 GERUND = "ившись ывшись ивши ывши ив ыв"
 GERUND_AFTER_A = "вшись вши в"
@@ -89,15 +90,19 @@ def contains_form(text: Column, query: str) -> Column:
 
 
 def resolve(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(query, alias, ord, match) for the rows (query) by the alias map (priority, key, ord, alias), keys in search form.
+    """(query, alias, place, match) for the rows (query) by the alias map (priority, key, ord, alias), keys in search form.
 
-    The exact key of the first map that has it wins; else all aliases of keys with the same stems, once each, in order of map
-    and place; match is exact or inflection. Queries without an alias have no row.
+    The exact key of the first map that has it wins, with that key's aliases in their order; else all aliases of keys with the
+    same stems, once each, in order of map and place; match is exact or inflection, place counts from 1. Queries without an
+    alias have no row. Equal places are ordered by alias.
     """
     q = queries.select("query").where("query is not null").distinct().withColumn("stem", stem_key("query"))
-    known = aliases.where("alias is not null and key is not null").withColumn("stem", stem_key("key"))
+    known = aliases.where("alias is not null and key is not null")
+    keys = known.select("key").distinct().withColumn("stem", stem_key("key"))  # each key is stemmed once
+    at = F.struct("priority", "ord")
     exact = q.join(known, q["query"] == known["key"]).select("query", "priority", "ord", "alias")
     first = exact.groupBy("query").agg(F.min("priority").alias("priority"))
-    exact = exact.join(first, ["query", "priority"]).groupBy("query", "alias").agg(F.min("ord").cast("long").alias("ord")).withColumn("match", F.lit("exact"))
-    loose = q.where("stem <> ''").join(first, "query", "left_anti").join(known.drop("key"), "stem").groupBy("query", "alias").agg(F.min(F.col("priority") * 1_000_000 + F.col("ord")).cast("long").alias("ord")).withColumn("match", F.lit("inflection"))
-    return exact.unionByName(loose)
+    exact = exact.join(first, ["query", "priority"]).groupBy("query", "alias").agg(F.min(at).alias("at")).withColumn("match", F.lit("exact"))
+    loose = q.where("stem <> ''").join(first, "query", "left_anti").join(keys, "stem").join(known, "key").groupBy("query", "alias").agg(F.min(at).alias("at")).withColumn("match", F.lit("inflection"))
+    place = F.row_number().over(W.partitionBy("query").orderBy("at", "alias"))
+    return exact.unionByName(loose).select("query", "alias", place.alias("place"), "match")

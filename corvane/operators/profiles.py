@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
@@ -93,31 +95,36 @@ def family(path: Column) -> Column:
 
 
 MERGE, SKIP, EPS = 0.3, 0.9, 1e-12
-#: The moves in the order in which ties are resolved (units taken left, right).
-MOVES = ((1, 1), (1, 2), (2, 1), (1, 0), (0, 1))
+#: The moves (units taken left, right), in the order in which they reach a place when places are worked on row by
+#: row; of equal costs the first to arrive stays.
+MOVES = ((2, 1), (1, 2), (1, 1), (1, 0), (0, 1))
+
 
+def numbers(text: str) -> frozenset[str]:
+    return frozenset(re.findall(r"\d{1,4}", text))
 
-def numbers(text: str) -> set[str]:
-    import re
 
-    return set(re.findall(r"\d{1,4}", text))
+def _units(texts: list[str]) -> list[tuple[int, frozenset[str]]]:
+    """Length and numbers of every unit, and behind them those of every two neighbours joined by a blank."""
+    one = [(max(len(x), 1), numbers(x)) for x in texts]
+    return [*one, *((len(x) + 1 + len(y), p[1] | q[1]) for x, y, p, q in zip(texts, texts[1:], one, one[1:]))]
 
 
-def pair_cost(left: str, right: str, ratio: float) -> float:
-    """Relative difference of lengths at the expected ratio, less half the overlap of numbers; not below 0."""
-    want = len(left) * ratio
-    cost = abs(want - len(right)) / max(want, len(right), 1)
-    a, b = numbers(left), numbers(right)
-    return max(0.0, cost - (0.5 * len(a & b) / len(a | b) if a and b else 0.0))
+def pair_cost(left: tuple[int, frozenset[str]], right: tuple[int, frozenset[str]], ratio: float) -> float:
+    """Relative difference of lengths at the expected ratio (left by right), less half the overlap of numbers; not below 0."""
+    (n, a), (m, b) = left, right
+    cost = abs(n - m * ratio) / max(n, m * ratio)
+    return max(0.0, cost - (0.5 * round(len(a & b) / len(a | b), 4) if a and b else 0.0))
 
 
 def align(left: list[str], right: list[str]) -> list[tuple[list[int], list[int], float]]:
-    """The cheapest sequence of moves through both sides: (left places, right places, confidence); an unmatched unit has confidence 0.
+    """The cheapest sequence of moves through both sides: (left places, right places, confidence), confidence being 1 less the move's cost.
 
-    Both sides empty give no rows. Equal costs: the move listed first.
+    Both sides empty give no rows. Null units count as empty. Equal costs: see MOVES.
     """
-    ratio = sum(map(len, right)) / max(1, sum(map(len, left)))
-    rows, columns = len(left) + 1, len(right) + 1
+    left, right = [x or "" for x in left], [x or "" for x in right]
+    ratio = (sum(map(len, left)) or 1) / (sum(map(len, right)) or 1)
+    rows, columns, lu, ru = len(left) + 1, len(right) + 1, _units(left), _units(right)
     best = [[float("inf")] * columns for _ in range(rows)]
     came: list[list[tuple[int, int, float]]] = [[(0, 0, 0.0)] * columns for _ in range(rows)]
     best[0][0] = 0.0
@@ -126,13 +133,15 @@ def align(left: list[str], right: list[str]) -> list[tuple[list[int], list[int],
             for a, b in MOVES:
                 if i < a or j < b or best[i - a][j - b] == float("inf"):
                     continue
-                cost = SKIP if not (a and b) else pair_cost(" ".join(left[i - a : i]), " ".join(right[j - b : j]), ratio) + (MERGE if a + b > 2 else 0)
+                cost = SKIP
+                if a and b:
+                    cost = pair_cost(lu[i - a if a == 1 else len(left) + i - a], ru[j - b if b == 1 else len(right) + j - b], ratio) + (MERGE if a + b > 2 else 0)
                 if best[i - a][j - b] + cost < best[i][j] - EPS:
                     best[i][j], came[i][j] = best[i - a][j - b] + cost, (a, b, cost)
     out, i, j = [], len(left), len(right)
     while i or j:
         a, b, cost = came[i][j]
-        out.append((list(range(i - a, i)), list(range(j - b, j)), 0.0 if not (a and b) else round(max(0.0, min(1.0, 1 - cost)), 4)))
+        out.append((list(range(i - a, i)), list(range(j - b, j)), round(max(0.0, min(1.0, 1 - cost)), 4)))
         i, j = i - a, j - b
     return out[::-1]
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 from corvane.functions.text import field_tier, has_token, norm_query, query_tokens, record_tier, script_of
@@ -51,35 +54,27 @@ def senses(records: DataFrame, aliases: list[str], late_source: str, most: int =
     return first.withColumn("n", F.row_number().over(W.partitionBy("late").orderBy("pos"))).where(F.col("n") <= most).select("late", "n", "gloss")
 
 
-def _letters(text: str) -> tuple[str, list[int]]:
-    """Search form of a text, character by character, and where each came from."""
-    out, at = [], []
-    for k, ch in enumerate(text):
-        form = unicodedata.normalize("NFKC", ch).lower().translate({ord("ё"): "е", ord("i"): "Ӏ", ord("і"): "Ӏ", ord("ӏ"): "Ӏ"}).lower()
-        out.append(form)
-        at += [k] * len(form)
-    return "".join(out), at
+@lru_cache(4096)
+def _search_form(ch: str) -> str:
+    """`norm` of one character."""
+    return unicodedata.normalize("NFKC", ch).lower().translate({ord("ё"): "е", ord("i"): "Ӏ", ord("і"): "Ӏ", ord("ӏ"): "Ӏ"}).lower()
 
 
 def spans_of(text: str | None, forms: list[str], whole_words: bool) -> list[tuple[int, int]]:
-    """Places (in characters of the text) of all occurrences of the forms, overlapping and touching ones merged."""
-    line, at = _letters(text or "")
-    free = lambda k: not (0 <= k < len(line)) or not (line[k].isalpha() or line[k].isnumeric())
-    found = []
-    for form in filter(None, forms):
-        k = line.find(form)
-        while k >= 0:
-            end = k + len(form)
-            if not whole_words or free(k - 1) and free(end):
-                found.append((at[k], at[end - 1] + 1))
-            k = line.find(form, end)
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged
+    """The places (in characters of the text) that occurrences of the forms cover, as stretches.
+
+    Each form is a pattern over the text's search form, with or without word borders; the characters behind its matches are
+    marked, and the stretches of marked characters are the spans, so overlapping and touching matches are one.
+    """
+    pieces = [_search_form(ch) for ch in text or ""]
+    line, owner = "".join(pieces), np.repeat(np.arange(len(pieces)), [len(x) for x in pieces])
+    before, after = (r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])") if whole_words else ("", "")
+    marked = np.zeros(len(pieces), bool)
+    for form in set(filter(None, forms)):
+        for m in regex.finditer(before + regex.escape(form) + after, line):
+            marked[owner[m.start()] : owner[m.end() - 1] + 1] = True
+    border = np.flatnonzero(np.diff(marked, prepend=False, append=False))
+    return list(zip(border[::2].tolist(), border[1::2].tolist()))
 
 
 def highlight(text: str | None, phrase: str, wanted: list[str], forms: list[str]) -> list[tuple[int, int]]:

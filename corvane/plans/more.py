@@ -36,10 +36,16 @@ def sc4(spark, d):
     return files.file_digests(spark, f"{path}/*.json").agg(F.count("*").alias("files"), F.bool_and((F.length("sha256") == 64) & (F.col("bytes") > 0)).alias("right_length"))
 
 
-@query("J2_term_join", f"with w as (select p.id, p.source_type, unnest(list_distinct({WORDS.format('p.ru_text')})) as term from parallel_pairs p), n as (select term, count(*) as pairs, count(distinct source_type) as types from w group by 1) select n.term, n.pairs, n.types, min(w.id) as first_pair from n join w using (term) where starts_with(n.term, 'ка') group by 1, 2, 3")
+@query("J2_term_join", f"with w as (select id as entry_id, source_id, unnest(list_distinct({WORDS.format('title')})) as term from corpus_documents), l as (select document_id as entry_id, count(distinct f) as forms from (select document_id, unnest({WORDS.format('text_normalized')}) as f from segments) group by 1), n as (select document_id as entry_id, string_agg(distinct section, '|' order by section) as sections from segments group by 1) select term, entry_id, source_id, title as source_title, coalesce(forms, 0) as forms, coalesce(sections, '') as sections from w join corpus_sources s on s.id = w.source_id left join l using (entry_id) left join n using (entry_id)")
 def j2(spark, d):
-    w = t(spark, d, "parallel_pairs").select("id", "source_type", F.explode(F.array_distinct(_words("ru_text"))).alias("term")).where(F.col("term").startswith("ка"))
-    return w.groupBy("term").agg(F.count("*").alias("pairs"), F.countDistinct("source_type").alias("types"), F.min("id").alias("first_pair"))
+    """Search terms (of titles) to their entries and those to their sources; what an entry fans out to is aggregated on each side first."""
+    w = t(spark, d, "corpus_documents").select(F.col("id").alias("entry_id"), "source_id", F.explode(F.array_distinct(_words("title"))).alias("term"))
+    seg = t(spark, d, "segments").where("document_id is not null").withColumnRenamed("document_id", "entry_id")
+    forms = seg.select("entry_id", F.explode(_words("text_normalized")).alias("f")).distinct().groupBy("entry_id").agg(F.count("*").alias("forms"))
+    sections = seg.groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_set("section")), "|").alias("sections"))
+    sources = t(spark, d, "corpus_sources").select(F.col("id").alias("source_id"), F.col("title").alias("source_title"))
+    found = w.join(sources, "source_id").join(forms, "entry_id", "left").join(sections, "entry_id", "left")
+    return found.select("term", "entry_id", "source_id", "source_title", F.coalesce("forms", F.lit(0)).alias("forms"), F.coalesce("sections", F.lit("")).alias("sections"))
 
 
 @query("J2_dictionary_terms")

@@ -337,7 +337,7 @@ def w4(spark, d):
     return R.latest(t(spark, d, "corpus_documents"), ["source_id"], [F.asc_nulls_last("year"), F.col("id")]).select("source_id", "id", "year")
 
 
-@query("W5_rank_percentile", "with c as (select contributor_id, count(*) as n from validation_votes group by 1), r as (select *, row_number() over (order by n desc, contributor_id) as rank, count(*) over () as total from c) select contributor_id, n, rank, floor((1 - (rank - 1) * 1.0::double / greatest(total, 1)) * 100 + 0.5)::bigint as percentile from r")
+@query("W5_rank_percentile", "with c as (select contributor_id, count(*) as n from validation_votes group by 1), r as (select *, row_number() over (order by n desc, contributor_id) as rank, count(*) over () as total from c) select a.contributor_id, a.n, a.rank, floor((1 - (a.rank - 1) * 1.0::double / greatest(a.total, 1)) * 100 + 0.5)::bigint as percentile, coalesce(string_agg(b.contributor_id, ',' order by b.rank), '') as neighbours from r a left join r b on b.rank between a.rank - 2 and a.rank + 2 and b.rank <> a.rank group by 1, 2, 3, 4")
 def w5(spark, d):
     c = t(spark, d, "validation_votes").groupBy("contributor_id").agg(F.count("*").alias("n"))
     # ranks over all rows without one task for all: counts of larger values first, then the order among equals
@@ -345,7 +345,12 @@ def w5(spark, d):
     above = per.withColumn("above", F.sum("same").over(W.orderBy(F.desc("n"))) - F.col("same"))  # a row per distinct count
     rank = F.col("above") + F.row_number().over(W.partitionBy("n").orderBy("contributor_id"))
     total = c.agg(F.count("*").alias("total"))
-    return c.join(above, "n").crossJoin(F.broadcast(total)).select("contributor_id", "n", rank.cast("long").alias("rank"), "total").select("contributor_id", "n", "rank", F.floor((1 - (F.col("rank") - 1) / F.greatest("total", F.lit(1))) * 100 + 0.5).alias("percentile"))
+    r = c.join(above, "n").crossJoin(F.broadcast(total)).select("contributor_id", "n", rank.cast("long").alias("rank"), "total")
+    # each row is a neighbour of four ranks
+    near = r.select(F.explode(F.array(*[F.col("rank") + k for k in (-2, -1, 1, 2)])).alias("rank"), F.struct(F.col("rank").alias("at"), F.col("contributor_id").alias("id")).alias("x"))
+    near = near.groupBy("rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]), ",").alias("neighbours"))
+    percentile = F.floor((1 - (F.col("rank") - 1) / F.greatest("total", F.lit(1))) * 100 + 0.5)
+    return r.join(near, "rank", "left").select("contributor_id", "n", "rank", percentile.alias("percentile"), F.coalesce("neighbours", F.lit("")).alias("neighbours"))
 
 
 @query("W6_streaks", "select contributor_id, min(d)::varchar as first_day, max(d)::varchar as last_day, count(*) as days from (select contributor_id, d, d - (row_number() over (partition by contributor_id order by d))::int as island from (select distinct contributor_id, created_at::date as d from validation_votes)) group by contributor_id, island")
@@ -354,6 +359,16 @@ def w6(spark, d):
     return s.select("contributor_id", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"), "days")
 
 
+@query("W6_current_streak", "with v as (select distinct contributor_id, created_at::date as d from validation_votes where contributor_id is not null), today as (select max(d) as d from v), i as (select contributor_id, max(d) as last_day, count(*) as days from (select *, d - (row_number() over (partition by contributor_id order by d))::int as island from v where d is not null) group by contributor_id, island) select contributor_id, coalesce(max(case when last_day >= today.d - 1 then days end), 0)::bigint as streak from (select distinct contributor_id from v) left join i using (contributor_id), today group by 1")
+def w6_current(spark, d):
+    """Days in a row up to the table's last day or the day before it; 0 where the last run ended earlier."""
+    v = t(spark, d, "validation_votes").where("contributor_id is not null")
+    today = v.agg(F.max(F.to_date("created_at")).alias("today"))
+    runs = R.streaks(v, "contributor_id", "created_at").crossJoin(F.broadcast(today)).where(F.col("last_day") >= F.date_sub("today", 1))
+    now = runs.groupBy("contributor_id").agg(F.max("days").alias("streak"))
+    return v.select("contributor_id").distinct().join(now, "contributor_id", "left").select("contributor_id", F.coalesce("streak", F.lit(0)).alias("streak"))
+
+
 @query("W7_trailing_bursts", "select event_id, count(*) over (partition by user_id order by ts range between interval 300 seconds preceding and current row) - 1 as recent from events")
 def w7(spark, d):
     return R.bursts(t(spark, d, "events"), "user_id", "ts", 300, "event_id").select("event_id", "recent")
@@ -461,12 +476,36 @@ def sk9(spark, d):
     return R.upsert(old, new, "id", ["status"], ["split"])
 
 
-@query("A10_weighted_shares", "with w as (select task_id, lower(trim(value)) as value, count(*) as n, floor(sum(0.3 + (case when time_to_vote_ms < 5000 then 0.0 else 0.5 end)::double) * 100 + 0.5) / 100 as weight from validation_votes where not flagged_spam group by 1, 2) select task_id, value, n, weight, floor(weight / sum(weight) over (partition by task_id) * 1000 + 0.5) / 1000 as share from w where task_id is not null")
+#: Votes' weights in thousandths: 0.3 and the contributor's reliability from 0 to 1, by their last 100 votes on tasks with a
+#: gold answer; contributors without any count as 0.5.
+WEIGHTS_SQL = """with gold as (select id, max(lower(trim(gold_answer))) as answer from gold_set where gold_answer is not null group by 1),
+ last as (select v.contributor_id, case when lower(trim(v.value)) = g.answer then 1.0 else 0.0 end::double as outcome, row_number() over (partition by contributor_id order by created_at desc, v.id desc, loaded_at desc) as n
+  from validation_votes v join gold g on g.id = v.task_id where not flagged_spam and contributor_id is not null),
+ rel as (select contributor_id, floor((2.5 + sum(outcome)) / (5.0 + count(*)) * 1000 + 0.5)::bigint as score from last where n <= 100 group by 1),
+ w as (select task_id, lower(trim(value)) as value, count(*) as n, sum(300 + greatest(0, least(1000, coalesce(score, 500))))::bigint as thousandths
+  from validation_votes left join rel using (contributor_id) where not flagged_spam and task_id is not null group by 1, 2),
+ h as (select task_id, value, n, (thousandths + 5) // 10 as hundredths from w),
+ shares as (select *, floor(hundredths * 1000.0::double / sum(hundredths) over (partition by task_id) + 0.5) / 1000 as share from h)"""
+
+
+def weighted_shares(spark, d):
+    """(task_id, value, n, weight, share): each vote weighs 0.3 and its contributor's reliability; a value's weight is rounded to two
+    digits before the total is made, its share to three. Sums are made in whole thousandths, so their order doesn't matter."""
+    gold = t(spark, d, "gold_set").where("gold_answer is not null").groupBy(F.col("id").alias("task_id")).agg(F.max(F.lower(F.trim("gold_answer"))).alias("answer"))
+    votes = t(spark, d, "validation_votes").where(~F.col("flagged_spam"))
+    outcome = F.when(F.lower(F.trim("value")) == F.col("answer"), 1.0).otherwise(0.0)
+    known = votes.where("contributor_id is not null").join(gold, "task_id").withColumn("outcome", outcome).withColumn("weight", F.lit(1.0))
+    score = R.reliability(known, "contributor_id", [F.desc("created_at"), F.desc("id"), F.desc("loaded_at")], "outcome", "weight").select("contributor_id", F.round(F.col("score") * 1000).cast("long").alias("score"))
+    each = F.lit(300) + F.greatest(F.lit(0), F.least(F.lit(1000), F.coalesce("score", F.lit(500))))
+    w = votes.where("task_id is not null").join(score, "contributor_id", "left").groupBy("task_id", F.lower(F.trim("value")).alias("value")).agg(F.count("*").alias("n"), F.sum(each).alias("thousandths"))
+    h = w.withColumn("hundredths", F.expr("(thousandths + 5) div 10"))
+    share = F.floor(F.col("hundredths") * F.lit(1000.0) / F.sum("hundredths").over(W.partitionBy("task_id")) + 0.5) / 1000.0
+    return h.select("task_id", "value", "n", (F.col("hundredths") / 100.0).alias("weight"), share.alias("share"))
+
+
+@query("A10_weighted_shares", WEIGHTS_SQL + " select task_id, value, n, hundredths / 100.0::double as weight, share from shares")
 def a10(spark, d):
-    w = t(spark, d, "validation_votes").where(~F.col("flagged_spam") & F.col("task_id").isNotNull()).groupBy("task_id", F.lower(F.trim("value")).alias("value"))
-    weight = F.floor(F.sum(F.lit(0.3) + F.when(F.col("time_to_vote_ms") < 5000, 0.0).otherwise(0.5)) * 100 + 0.5) / 100.0
-    v = w.agg(F.count("*").alias("n"), weight.alias("weight"))
-    return v.withColumn("share", F.floor(F.col("weight") / F.sum("weight").over(W.partitionBy("task_id")) * 1000 + 0.5) / 1000.0)
+    return weighted_shares(spark, d)
 
 
 @query("A17_shrunk_reliability", "with e as (select user_id, value, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) select user_id, count(*) as n, floor((2.5 + sum(case when value > 50 then 1.0 else 0.0 end::double)) / (5.0 + count(*)) * 1000 + 0.5) / 1000 as score from e where n <= 100 group by 1")
@@ -475,13 +514,14 @@ def a17(spark, d):
     return R.reliability(e, "user_id", [F.desc("ts"), F.desc("event_id")], "outcome", "weight")
 
 
-@query("V1_consensus_shares", "with c as (select task_id, lower(trim(value)) as value, count(*) as n from validation_votes where not flagged_spam group by 1, 2), r as (select *, sum(n) over (partition by task_id) as total, row_number() over (partition by task_id order by n desc, value) as k from c) select task_id, max(case when k = 1 then value end) as top, sum(n)::bigint as votes, case when sum(n) >= 3 and max(case when k = 1 then n end) * 1.0 / sum(n) >= 0.67 then 'consensus' when sum(n) >= 3 and coalesce(max(case when k = 2 then n end), 0) * 1.0 / sum(n) >= 0.25 then 'disputed' else 'open' end as outcome from r group by 1")
+@query("V1_consensus_shares", WEIGHTS_SQL + ", r as (select *, row_number() over (partition by task_id order by hundredths desc, value nulls last) as k from shares), p as (select task_id, sum(n)::bigint as votes, max(case when k = 1 then value end) as top, max(case when k = 1 then share end) as first, coalesce(max(case when k = 2 then share end), 0) as second from r group by 1) select task_id, top, votes, case when votes >= 3 and first >= 0.67 then 'consensus' when votes >= 3 and second >= 0.25 then 'disputed' else 'open' end as outcome from p")
 def v1(spark, d):
-    c = t(spark, d, "validation_votes").where(~F.col("flagged_spam")).groupBy("task_id", F.lower(F.trim("value")).alias("value")).agg(F.count("*").alias("n"))
-    r = c.withColumn("k", F.row_number().over(W.partitionBy("task_id").orderBy(F.desc("n"), F.asc_nulls_last("value"))))
-    g = r.groupBy("task_id").agg(F.max(F.when(F.col("k") == 1, F.col("value"))).alias("top"), F.sum("n").alias("votes"), F.max(F.when(F.col("k") == 1, F.col("n"))).alias("a"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("n"))), F.lit(0)).alias("b"))
+    """Three votes or more: the top value's weighted share of .67 makes consensus, else the next one's of .25 a dispute; equal weights by value."""
+    r = weighted_shares(spark, d).withColumn("k", F.row_number().over(W.partitionBy("task_id").orderBy(F.desc("weight"), F.asc_nulls_last("value"))))
+    at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    p = r.groupBy("task_id").agg(F.sum("n").alias("votes"), at(1, "value").alias("top"), at(1, "share").alias("first"), F.coalesce(at(2, "share"), F.lit(0.0)).alias("second"))
     enough = F.col("votes") >= 3
-    return g.select("task_id", "top", "votes", F.when(enough & (F.col("a") / F.col("votes") >= 0.67), "consensus").when(enough & (F.col("b") / F.col("votes") >= 0.25), "disputed").otherwise("open").alias("outcome"))
+    return p.select("task_id", "top", "votes", F.when(enough & (F.col("first") >= 0.67), "consensus").when(enough & (F.col("second") >= 0.25), "disputed").otherwise("open").alias("outcome"))
 
 
 @query("B10_version_heads", "select pair_id, max(pair_version)::bigint as head, count(distinct pair_version) as versions from pair_adjudications group by 1")

@@ -225,12 +225,13 @@ def m3(spark, d):
 
 @query("M4_alias_resolution")
 def m4(spark, d):
-    """Aliases of the task prompts' first words from the pairs' words: exact, else by stem."""
+    """Aliases of all words of the task prompts from the pairs' words at equal places, in the pairs' order: exact, else by stem."""
     ship(spark)
-    pairs = t(spark, d, "parallel_pairs").select(F.get(X.tokens("ru_text"), F.lit(0)).alias("key"), F.get(X.tokens("lak_text"), F.lit(0)).alias("alias"))
-    aliases = pairs.where("key <> '' and alias <> ''").distinct().withColumn("priority", F.lit(0)).withColumn("ord", F.pmod(F.xxhash64("alias"), F.lit(1_000_000)).cast("int"))
-    queries = t(spark, d, "gold_set").select(F.get(X.tokens("prompt_ru"), F.lit(0)).alias("query")).where("query <> ''")
-    return RU.resolve(queries, aliases.select("priority", "key", "ord", "alias"))
+    both = t(spark, d, "parallel_pairs").select("id", F.posexplode(F.arrays_zip(X.tokens("ru_text").alias("key"), X.tokens("lak_text").alias("alias"))).alias("n", "x"))
+    aliases = both.select(F.lit(0).alias("priority"), F.struct("id", "n").alias("ord"), F.col("x")["key"].alias("key"), F.col("x")["alias"].alias("alias")).where("key is not null and alias is not null")
+    aliases = aliases.groupBy("priority", "key", "alias").agg(F.min("ord").alias("ord"))  # repeated ones before they are joined
+    queries = t(spark, d, "gold_set").select(F.explode(X.tokens("prompt_ru")).alias("query"))
+    return RU.resolve(queries, aliases)
 
 
 # ---- search

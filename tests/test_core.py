@@ -83,8 +83,11 @@ def test_inflected_containment_and_aliases(spark):
     assert one(spark, RU.contains_form(F.col("t"), "словами"), t=text) and not one(spark, RU.contains_form(F.col("t"), "123"), t=text)
     aliases = spark.createDataFrame([(0, "слово", 0, "махъ"), (1, "слово", 0, "другой"), (1, "слова", 1, "калима"), (0, None, 0, "x")], "priority int, key string, ord int, alias string")
     q = spark.createDataFrame([("слово",), ("словами",), ("нет",), (None,), ("слово",)], "query string")
-    got = {(r.query, r.alias, r.match) for r in RU.resolve(q, aliases).collect()}
-    assert got == {("слово", "махъ", "exact"), ("словами", "махъ", "inflection"), ("словами", "другой", "inflection"), ("словами", "калима", "inflection")}
+    got = {(r.query, r.alias, r.place, r.match) for r in RU.resolve(q, aliases).collect()}
+    assert got == {("слово", "махъ", 1, "exact"), ("словами", "махъ", 1, "inflection"), ("словами", "другой", 2, "inflection"), ("словами", "калима", 3, "inflection")}
+    many = [(k // 3_000_000, "слово", k % 3_000_000, f"a{k}") for k in (2, 1_500_000, 3_000_001)]  # places of a million and more
+    got = [r.alias for r in RU.resolve(q.where("query = 'словами'"), spark.createDataFrame(many, "priority int, key string, ord int, alias string")).orderBy("place").collect()]
+    assert got == ["a2", "a1500000", "a3000001"]
 
 
 # ---- search
@@ -222,12 +225,48 @@ def test_alignment():
     assert [(a, b) for a, b, _ in got] == [([0], [0]), ([1], [1]), ([2], [2])] and P.align(left, right) == got
     cover = P.align(["a" * 10] * 4, ["b" * 12])
     assert sorted(k for a, _, _ in cover for k in a) == [0, 1, 2, 3] and any(not (a and b) for a, b, _ in cover)
-    assert P.align([], []) == [] and P.align(["x"], []) == [([0], [], 0.0)]
+    assert P.align([], []) == [] and P.align(["x"], []) == [([0], [], 0.1)] and P.align([None], [""])[0][:2] == ([0], [0])
     rows = P.align_hierarchy(["Heading", "A text.", "Second", "More text."], ["Kopf", "Ein Text.", "Zwei", "Mehr Text."])
     assert sum(r["level"] == "section" for r in rows) == 2
     assert P.sections([]) == [] and [len(s) for s in P.sections(["A text."] * 25)] == [10, 10, 5]
 
 
+def _forward(left, right):
+    """Alignment by filling cells forward: a cell is replaced only by a cheaper arrival."""
+    ratio = (sum(map(len, left)) or 1) / (sum(map(len, right)) or 1)
+    best, came = {(0, 0): 0.0}, {}
+    for i in range(len(left) + 1):
+        for j in range(len(right) + 1):
+            for a, b in ((1, 1), (1, 2), (2, 1), (1, 0), (0, 1)):
+                if i + a <= len(left) and j + b <= len(right):
+                    n, m = max(1, len(" ".join(left[i : i + a]))), max(1, len(" ".join(right[j : j + b])))
+                    cost = 0.9 if not (a and b) else abs(n - m * ratio) / max(n, m * ratio) + (0.3 if a + b > 2 else 0)
+                    if best[i, j] + cost < best.get((i + a, j + b), 9e9) - 1e-12:
+                        best[i + a, j + b], came[i + a, j + b] = best[i, j] + cost, (a, b)
+    i, j, out = len(left), len(right), []
+    while i or j:
+        a, b = came[i, j]
+        i, j = i - a, j - b
+        out.append((list(range(i, i + a)), list(range(j, j + b))))
+    return out[::-1]
+
+
+def test_alignment_resolves_ties_by_arrival():
+    rng = random.Random(5)
+    cases = [([4, 4], [9, 4, 9])] + [([rng.choice((3, 4, 9)) for _ in range(rng.randint(1, 5))], [rng.choice((3, 4, 9)) for _ in range(rng.randint(1, 5))]) for _ in range(1500)]
+    for a, b in cases:
+        left, right = ["x" * n for n in a], ["y" * n for n in b]
+        assert [r[:2] for r in P.align(left, right)] == _forward(left, right), (a, b)
+
+
+def test_spans_cover_matches():
+    assert S.spans_of("Ёлка, елка и ёлки", ["елка"], True) == [(0, 4), (6, 10)]
+    assert S.spans_of("abcd", ["ab", "bc", "cd"], False) == [(0, 4)] and S.spans_of("abab", ["ab"], False) == [(0, 4)]
+    assert S.spans_of("кӀура КIУРА", [X.norm_query("кӀура")], True) == [(0, 5), (6, 11)]
+    assert S.spans_of(None, ["a"], True) == S.spans_of("", [""], False) == S.spans_of("aa", ["a"], True) == []
+    assert S.spans_of("ﬁne", [X.norm_query("fi")], False) == [(0, 1)]
+
+
 def test_family_keys(spark):
     paths = ("books/Chronicle-1.txt", "books/Chronicle-1a.txt", "x/Chronicle_final.pdf")
     assert {one(spark, P.family(F.col("t")), t=t) for t in paths} == {"title:chronicle"}
