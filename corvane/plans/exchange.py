@@ -51,7 +51,7 @@ def sk2(spark, d):
     return S.csv_lines(t(spark, d, "corpus_documents").select("id", "title", "author"))
 
 
-@query("SK3_jsonl_lines")
+@query("SK3_jsonl_lines", "select to_json({'id': id, 'direction': direction, 'ru_text': ru_text, 'lak_text': lak_text, 'lineage': {'source_type': source_type, 'source_provenance': source_provenance}})::varchar as line from parallel_pairs")
 def sk3(spark, d):
     p = t(spark, d, "parallel_pairs")
     return p.select(F.to_json(F.struct("id", "direction", "ru_text", "lak_text", F.struct("source_type", "source_provenance").alias("lineage")), {"ignoreNullFields": "false"}).alias("line"))
@@ -131,7 +131,7 @@ def e4(spark, d):
     return p.select("id", F.explode(L.gloss_candidates(F.col("ru_text"))).alias("candidate"))
 
 
-@query("E4_sense_candidates")
+@query("E4_sense_candidates", "with s as (select id, unnest(list_filter(list_transform(regexp_split_to_array(coalesce(ru_text, ''), '(?:^|\\s)[0-9]+[.)]\\s*'), lambda x: trim(x)), lambda x: x <> '')) as sense from parallel_pairs), h as (select id, regexp_split_to_array(regexp_replace(sense, '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g'), '\\s[-–—]\\s')[1] as head from s) select distinct id, unnest(list_filter(list_transform(regexp_split_to_array(head, '[.;,0-9]+'), lambda v: lower(trim(v))), lambda v: v <> '' and length(v) <= 80 and not contains(v, ' '))) as candidate from h")
 def e4_whole(spark, d):
     """Candidates of every sense of all glosses: numbered marks part senses, labels in brackets and what follows a dash are dropped."""
     p = t(spark, d, "parallel_pairs").select("id", F.explode(L.sense_parts(F.col("ru_text"))).alias("sense"))

@@ -31,7 +31,7 @@ def i2(spark, d):
     return P.bucket_pairs(_batches(spark, d), "id", "kind", "key").select("left", "right")
 
 
-@query("I2_bucket_members")
+@query("I2_bucket_members", "with k as (select distinct id, import_batch_id || '|' || document_id as key from segments where document_id is not null and import_batch_id is not null and id is not null), big as (select key, min(id) as representative from k group by 1 having count(*) > 40) select key, id, representative from k join big using (key)")
 def i2_members(spark, d):
     """The buckets of more than 40 members, a row a member, which stand for all their pairs."""
     return P.bucket_members(_batches(spark, d), "id", "kind", "key").select("key", F.col("item").alias("id"), "representative")
@@ -71,7 +71,7 @@ def i8(spark, d):
     return t(spark, d, "corpus_sources").select("id", F.when(i.contains("tales"), "narrative").when(i.contains("songs"), "verse").when(i.contains("grammar") | i.contains("wordlist"), "reference").otherwise("other").alias("family"))
 
 
-@query("F16_family_keys")
+@query("F16_family_keys", "with p as (select id, string_split(concat_ws('/', source_id, source_file), '/') as parts, lower(concat_ws('/', source_id, source_file)) as path from corpus_documents), r as (select id, path, lower(parts[-2]) as folder, regexp_replace(lower(regexp_replace(parts[-1], '\\.[^.]*$', '')), '([-_ ]*([0-9]+[a-z]?|copy|final|draft|v[0-9]+))+$', '') as root from p) select id, case when length(root) >= 4 and root not in ('text', 'document', 'file', 'scan', 'page') then 'title:' || root when folder <> '' then 'folder:' || folder else 'path:' || path end as family from r")
 def f16(spark, d):
     return t(spark, d, "corpus_documents").select("id", P.family(F.concat_ws("/", "source_id", "source_file")).alias("family"))
 
@@ -165,7 +165,7 @@ def j18(spark, d):
     return w.join(a, "form").groupBy("form").agg(F.count("*").alias("segments"))
 
 
-@query("J18_alias_containment_whole")
+@query("J18_alias_containment_whole", "with a as (select distinct lower(lak_text) as form, list_filter(regexp_split_to_array(lower(lak_text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from gold_set where lak_text is not null), l as (select distinct id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text_normalized), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ' as line from segments where id is not null) select form, count(distinct id) as segments from a join l on contains(line, ' ' || array_to_string(w, ' ') || ' ') where len(w) > 0 group by 1")
 def j18_whole(spark, d):
     """All aliases, also those of several words and those with hyphens or stops, by the segments that hold their words in a row."""
     a = t(spark, d, "gold_set").where("lak_text is not null").select(F.lower("lak_text").alias("form")).distinct()

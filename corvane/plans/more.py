@@ -136,7 +136,7 @@ def e5(spark, d):
     return t(spark, d, "corpus_documents").where("title is not null").select("id", word.alias("word"), number.alias("homonym"))
 
 
-@query("E8_form_relations")
+@query("E8_form_relations", "with p as (select id as entry_id, source_type as source, string_split(lower(lak_text), ' ') as w from parallel_pairs where lak_text <> ''), f as (select distinct entry_id, unnest(w) as form from p) select form, w[1] as lemma, min(entry_id) as entry_id from f join p using (entry_id) where source = 'lesson' or w[1] = form group by 1, 2")
 def e8(spark, d):
     """Forms of pairs related to the headword of their pair; a source type's whole paradigm counts for lessons only."""
     p = t(spark, d, "parallel_pairs").where("lak_text <> ''").select(F.col("id").alias("entry_id"), F.col("source_type").alias("source"), F.split(F.lower("lak_text"), " ").alias("w"))

@@ -320,7 +320,7 @@ def w2(spark, d):
     return _running_length(spark, d, 4000)
 
 
-@query("W2_running_length_whole")
+@query("W2_running_length_whole", "select document_id, id from (select document_id, id, coalesce(sum(length(text_original)) over (partition by document_id order by n rows between unbounded preceding and 1 preceding), 0) as before from (select document_id, id, text_original, row_number() over (partition by document_id order by ordinal nulls first, id, content_hash) as n from (select distinct document_id, id, ordinal, content_hash, text_original from segments)) where n <= 120) where before < 40000")
 def w2_whole(spark, d):
     return _running_length(spark, d, CHARS)
 
@@ -420,12 +420,12 @@ def l10(spark, d):
     return t(spark, d, "gold_set").orderBy(F.desc("priority"), "kind", "id").limit(200).select("id")
 
 
-@query("L12_seeded_pick")
+@query("L12_seeded_pick", "with v as (select distinct contributor_id, task_id from validation_votes), r as (select contributor_id, task_id, row_number() over (partition by contributor_id order by -priority nulls first, md5(concat_ws('|', contributor_id, task_id)), task_id) as n from v join (select id as task_id, priority from gold_set) using (task_id)) select contributor_id, task_id from r where n = 1")
 def l12(spark, d):
     """One task per contributor and priority order, ties broken by a hash of both, the same in every run."""
     votes = t(spark, d, "validation_votes").select("contributor_id", "task_id").distinct()
     g = t(spark, d, "gold_set").select(F.col("id").alias("task_id"), "priority")
-    key = F.struct((-F.col("priority")).alias("p"), F.xxhash64("contributor_id", "task_id").alias("h"), "task_id")
+    key = F.struct((-F.col("priority")).alias("p"), F.md5(F.concat_ws("|", "contributor_id", "task_id").cast("binary")).alias("h"), "task_id")
     return votes.join(g, "task_id").groupBy("contributor_id").agg(F.min(key).alias("x")).select("contributor_id", F.col("x.task_id").alias("task_id"))
 
 
