@@ -79,3 +79,36 @@ def relations(forms: DataFrame, links: DataFrame, whole: str) -> DataFrame:
     j = forms.join(links.withColumnRenamed("form", "of"), "entry_id").where((F.col("source") == whole) | (F.col("of") == F.col("form")))
     n = F.row_number().over(W.partitionBy("form", "lemma").orderBy((F.size(F.coalesce("features", F.array().cast("array<string>"))) > 0).desc(), "entry_id", "of"))
     return j.withColumn("n", n).where("n = 1").select("form", "lemma", "features", "entry_id")
+
+
+#: Grammar labels that show a part of speech, and labels that are stripped from a translation's beginning.
+PARTS_OF_SPEECH = (("N", r"м\.|ж\.|ср\.|мн\."), ("ADJ", r"прил\."), ("V", r"гл\.|сов\.|несов\."), ("ADV", r"нареч\."), ("NUM", r"числит\."), ("PRON", "мест"))
+LABELS = r"м\.|ж\.|ср\.|мн\.|прил\.|нареч\.|гл\.|сов\.|несов\.|мест\.?|числит\.|предл\.|союз|межд\.|част\.|вводн\.\s*сл\.|предлог|частица|нескл\.?"
+#: Endings of a title that mark an edition.
+EDITIONS = r"copy|final|draft|corrected|uncorrected|ocr|scan|scanned|clean|new|old|orig|original|edit|edited|ru|rus|russian|lak|eng|en|lat|latin|cyr|cyrillic|translit|transliteration|perevod|v[0-9]+|[0-9]{4}"
+
+
+def part_of_speech(c: Column) -> Column:
+    """By the first label of the list that begins a word; null without one. Word borders are those of Unicode."""
+    low, out = F.lower(c), None
+    for name, labels in PARTS_OF_SPEECH:
+        here = low.rlike(rf"(^|[^\p{{L}}])({labels})")
+        out = F.when(here, name) if out is None else out.when(here, name)
+    return out
+
+
+def without_labels(c: Column) -> Column:
+    """The text without the grammar labels at its beginning, however many."""
+    return F.regexp_replace(c, rf"(?iu)^(({LABELS})\s*,?\s*)+", "")
+
+
+def editions(slug: Column) -> Column:
+    """struct(normalized, base, root, markers) of a title's slug: edition endings are cut from the end, then a letter after the
+    number, then the number for the root; markers name what was cut, the last first."""
+    tail = F.regexp_extract(slug, rf"((?:-(?:{EDITIONS}))+)$", 1)
+    cut = F.substring(slug, F.lit(1), F.length(slug) - F.length(tail))
+    base = F.regexp_replace(cut, r"([0-9]+)[a-z]$", "$1")
+    root = F.regexp_replace(base, r"[-_ ]?[0-9]+$", "")
+    marks = F.reverse(F.filter(F.split(tail, "-"), lambda x: x != ""))
+    letter = F.when(base != cut, F.array(F.lit("edition-letter"))).otherwise(F.array().cast("array<string>"))
+    return F.struct(slug.alias("normalized"), base.alias("base"), F.when(root == "", base).otherwise(root).alias("root"), F.concat(marks, letter).alias("markers"))

@@ -1,3 +1,3 @@
 """All core queries."""
 
-from corvane.plans import exchange, intelligence, more, sources, texts  # noqa: F401
+from corvane.plans import evidence, exchange, intelligence, more, sources, texts  # noqa: F401

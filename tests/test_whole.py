@@ -98,3 +98,46 @@ def test_e4_takes_senses_brackets_and_dashes(spark, tmp_path):
     d = folder(spark, tmp_path, parallel_pairs=(pairs, PAIRS))
     got = {(r.id, r.candidate) for r in QUERIES["E4_sense_candidates"](spark, d).collect()}
     assert got == {("p1", "слово"), ("p1", "речь"), ("p1", "обещание"), ("p2", "дом"), ("p3", "луна"), ("p4", "пить"), ("p4", "есть")}
+
+
+def test_evidence_is_typed_isolated_and_ordered(spark):
+    from corvane.operators import evidence as E
+
+    pair = lambda i, ru, lak, status="pending", split=None, source="book": (i, ru, lak, status, split, source)
+    rows = [pair("a", "Старый дом", "къатта", "approved"), pair("b", "дом", "къат"), pair("c", "у дома дом", "x", source="archive"), pair("d", "дом и сад", None), pair("e", "дом", "held", "approved", "test"), pair("f", "чужой дом", " HELD ", "approved"), pair("g", "домик", "y"), pair("a", "Старый дом", "къатта", "approved"), pair("h", None, None)]
+    pairs = spark.createDataFrame(rows, "id string, ru_text string, lak_text string, status string, split string, source_type string").withColumn("class", F.lit("clash")).withColumn("query", F.lit(1))
+    queries = spark.createDataFrame([("Дом ",), ("дом",), (None,), ("",), ("?!",), ("нет такого",)], "query string")
+    got = E.gathered(queries, pairs)
+    # a held-out item and what repeats one of its sides are gone: e, f and b, whose Russian side is e's
+    assert {(r.query, r.pair_id): (r["class"], r.can_propose, r.gold) for r in got.collect()} == {("дом", "a"): ("approved_parallel_pair", True, True), ("дом", "c"): ("attested_public_example", True, False), ("дом", "d"): ("usage_support_only", False, False)}
+    assert [r.pair_id for r in E.ordered(got, 2, True).orderBy("rank").collect()] == ["a", "c"]
+    assert {r.query: r["class"] for r in E.run_classes(queries, got).collect()} == {"дом": "approved_parallel_pair", "?!": "none", "нет такого": "none"}
+    assert E.gathered(queries.limit(0), pairs).count() == E.gathered(queries, pairs.limit(0)).count() == 0
+
+
+def test_labels_and_editions(spark):
+    from corvane.operators import lexicon as L
+
+    rows = ["м., мн. дом, изба", "прил. старый", "гл. сов. идти", "совет дома", "числит. два", None, ""]
+    got = [(r.p, r.w) for r in spark.createDataFrame(list(enumerate(rows)), "n int, x string").orderBy("n").select(L.part_of_speech(F.col("x")).alias("p"), L.without_labels(F.col("x")).alias("w")).collect()]
+    assert got == [("N", "дом, изба"), ("ADJ", "старый"), ("V", "идти"), (None, "совет дома"), ("NUM", "два"), (None, None), (None, "")]
+    titles = ["war-1a-final-copy", "war-1a", "tales", "2020", "songs-ru-1999"]
+    e = [tuple(r.e) for r in spark.createDataFrame(list(enumerate(titles)), "n int, x string").orderBy("n").select(L.editions(F.col("x")).alias("e")).collect()]
+    assert e == [("war-1a-final-copy", "war-1", "war", ["copy", "final", "edition-letter"]), ("war-1a", "war-1", "war", ["edition-letter"]), ("tales", "tales", "tales", []), ("2020", "2020", "2020", []), ("songs-ru-1999", "songs", "songs", ["1999", "ru"])]
+
+
+def test_queries_that_find_nothing_in_the_test_tables(spark, tmp_path):
+    d = folder(
+        spark,
+        tmp_path,
+        segments=([("s1", "0" * 40, "d", 1), ("s1", "1" * 40, "d", 1), ("s2", "short", None, -1), ("s3", None, "d", None)], "id string, content_hash string, document_id string, ordinal int"),
+        gold_set=([("g1", " Къатта "), ("g2", None), ("g3", "x")], "id string, lak_text string"),
+        parallel_pairs=([("p2", "къатта", "approved"), ("p1", "КЪАТТА", "approved"), ("p3", "x", "pending")], "id string, lak_text string, status string"),
+        pair_adjudications=([("p1",), ("lost",), ("lost",), (None,)], "pair_id string"),
+        validation_votes=([("g1",), ("gone",)], "task_id string"),
+    )
+    rows = lambda name: {tuple(r) for r in QUERIES[name](spark, d).collect()}
+    assert rows("E12_conflicting_hashes") == {("s1", 2)}
+    assert rows("E9_bundle_rules") == {("s2", "digest"), ("s2", "document"), ("s2", "ordinal"), ("s3", "digest"), ("s3", "ordinal")}
+    assert rows("E11_referential") == {("pair", "lost", 2), ("pair", None, 1), ("task", "gone", 1)}
+    assert rows("B6_exact_memory") == {("g1", "p1")}
