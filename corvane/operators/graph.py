@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.session import stage
+from corvane.session import stage, unstage
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = stage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        old, e = e, stage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        unstage(old)
         now = _mark(e)
         if now == seen:
             break

@@ -64,7 +64,21 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corvane_path = path
+    return out
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Remove staged tables that nothing will read again; other tables are left alone."""
+    for df in tables:
+        if (path := getattr(df, "_corvane_path", None)) is not None:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def scratch(spark: SparkSession, name: str | None = None) -> str:
@@ -84,9 +98,7 @@ def _remove_at_exit(spark: SparkSession, folder: str) -> None:
 
     def remove() -> None:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, folder)
         except Exception:  # the session may be gone already
             pass
 
