@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvane.session import ship, stage, table
+from corvane.session import ship, stage, table, unstage
 
 #: Share of right answers the communities start from: reliable, fair, guessing, contrary.
 START = (0.9, 0.65, 0.4, 0.15)
@@ -321,7 +321,7 @@ class Model:
 
     def __init__(self, votes: DataFrame, rounds: int = ROUNDS) -> None:
         self.votes = self.rate(votes.mapInArrow(_first_answers, PART))
-        mass, before = np.ones(len(START)), np.zeros(3 * len(START))
+        mass, before, used = np.ones(len(START)), np.zeros(3 * len(START)), []
         for k in range(rounds):
             told = self.votes if k == 0 else self.votes.join(self.matrices.select("list", "v", "e"), ["list", "v"])
             who = told.select(*BASE, "p", *(["e"] if k else [])).mapInArrow(_about_who, PART)
@@ -332,7 +332,9 @@ class Model:
             size = F.col("n") * len(START)
             self.matrices = lists.where(F.col("kind") == OPTION).select("list", "v", F.slice("vec", F.lit(1), size).alias("e"), F.slice("vec", 1 + size, size).alias("mean"), F.slice("vec", 1 + 2 * size, F.col("n")).alias("k"))
             both = self.votes.join(self.contributors, "contributor_id").join(self.matrices.select("list", "v", "e", "k"), ["list", "v"])
-            self.votes = self.rate(both.select(*BASE, "n_votes", "q", "e", "k").mapInArrow(_answers, PART))
+            past, self.votes = self.votes, self.rate(both.select(*BASE, "n_votes", "q", "e", "k").mapInArrow(_answers, PART))
+            unstage(past, *used)
+            used = [who, lists]
             # a row of a few numbers from each task of the two steps
             now = [sum((np.array(r.vec) for r in x.where(F.col("kind") == TASK).select("vec").collect()), np.zeros(m * len(START))) for x, m in ((who, 1), (lists, 2))]
             mass, now = 1 + now[0], np.concatenate(now)
