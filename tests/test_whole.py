@@ -4,7 +4,6 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from corvane.llm import minhash
 from corvane.operators import profiles as P
 from corvane.plans.exchange import lexicon
 from corvane.plans.registry import QUERIES
@@ -87,12 +86,6 @@ def test_j2_joins_terms_to_entries_sources_senses_and_forms(spark, tmp_path):
     assert got == {(t, w, *rest) for t, w in (("махъ", 100), ("бур", 88), ("слово", 70), ("речь", 70))} | {("барз", 100, "барз", None, (), ("барз",))}
 
 
-def test_p1_bands_share_no_function():
-    assert len(set(minhash._BAND.ravel().tolist())) == minhash.BANDS * minhash.ROWS <= minhash.K
-    deviation = 2 * (0.8 * 0.2 / minhash.BITS) ** 0.5  # of the estimate at 0.6, where bits agree at 0.8
-    assert minhash.MARGIN >= 3 * deviation - 1e-9
-
-
 def test_e4_takes_senses_brackets_and_dashes(spark, tmp_path):
     pairs = [("p1", "s", "1. слово (уст.), речь 2. обещание", "x"), ("p2", "s", "дом — большой дом", "x"), ("p3", "s", "[разг.] луна", "x"), ("p4", "s", "пить — пить воду 2) есть", "x"), ("p5", "s", None, "x")]
     d = folder(spark, tmp_path, parallel_pairs=(pairs, PAIRS))
