@@ -158,10 +158,11 @@ def clip(c: ColumnOr, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
 
 
-def sentences(c: ColumnOr, most: int = 40) -> Column:
-    """Sentences with their closing marks, the first `most`; marks before the first letter are dropped."""
+def sentences(c: ColumnOr, most: int | None = None) -> Column:
+    """Sentences with their closing marks, all of them or the first `most`; marks before the first letter are dropped."""
     found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"([^.!?…]+[.!?…]+(?:[\"»)]+)?\s*|[^.!?…]+$)"), 1)
-    return F.slice(F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""), 1, most)
+    out = F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    return F.slice(out, 1, most) if most else out
 
 
 def is_heading(c: ColumnOr) -> Column:

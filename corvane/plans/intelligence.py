@@ -85,7 +85,7 @@ def u4(spark, d):
 
 @query("G4_alignment")
 def g4(spark, d):
-    """Sentences of both sides of every pair, aligned by length."""
+    """Sentences of both sides of every pair, aligned by length; all of them, though the work is the product of the two numbers."""
     ship(spark)
     pairs = t(spark, d, "parallel_pairs").select("id", X.sentences("ru_text").alias("a"), X.sentences("lak_text").alias("b"))
     return P.align_pairs(pairs, "id", "a", "b")

@@ -142,7 +142,7 @@ def f24(spark, d):
 
 @query("F25_sentences", "with s as (select doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '([^.!?…]+[.!?…]+(?:[\"»)]+)?\\s*|[^.!?…]+$)', 1), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') as x from documents) select doc_id, unnest(range(len(x)))::int as n, unnest(x) as sentence from s")
 def f25(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.posexplode(X.sentences("text", 10_000)).alias("n", "sentence"))
+    return t(spark, d, "documents").select("doc_id", F.posexplode(X.sentences("text")).alias("n", "sentence"))
 
 
 @query("F26_headings", "select doc_id, trim(text) <> '' and length(trim(text)) <= 90 and not regexp_matches(trim(text), '[.!?…]$') as heading from (select doc_id, coalesce(text, '') as text from documents)")
