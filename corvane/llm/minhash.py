@@ -39,6 +39,8 @@ MARGIN = 0.3
 BLOCK = 512
 #: Pairs of small buckets that are held in memory at once, about.
 PAIRS_AT_ONCE = 1_000_000
+#: Texts that a task remembers, about.
+SEEN = 500_000
 #: Hashes of texts that are sent to all tasks at most; beyond it Spark shuffles.
 BROADCAST_ROWS = 4_000_000
 
@@ -85,9 +87,11 @@ def signatures(texts: list[str]) -> np.ndarray:
 
 
 def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, reduced) -> (key, h, sketch) of every band, each h once a task."""
+    """(h, reduced) -> (key, h, sketch) of every band; a copy is passed over if its text came by lately in the task (others fall out in the buckets)."""
     seen: set[int] = set()
     for b in batches:
+        if len(seen) > SEEN:
+            seen.clear()
         h, texts, keep = b.column(0).to_pylist(), b.column(1).to_pylist(), []
         for k, x in enumerate(h):
             if x not in seen:
