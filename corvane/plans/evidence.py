@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from corvane.functions import text as X
-from corvane.operators import evidence as E, lexicon as L
+from corvane.operators import evidence as E, lexicon as L, search as S
 from corvane.plans.registry import query
 from corvane.session import stage, table as t
 
@@ -145,6 +145,14 @@ def f15_editions(spark, d):
     return t(spark, d, "corpus_documents").where("title is not null").select("id", L.editions(X.slug("title")).alias("e")).select("id", "e.*")
 
 
+@query("F28_form_profiles", f"with w as (select source, unnest({W_.format('text')}) as form from documents where source is not null), n as (select form, count(distinct source) as sources, count(*) as occurrences from w group by 1 having count(distinct source) >= 2), c as (select *, len(regexp_extract_all(form, '[؀-ۿ]')) as ar, len(regexp_extract_all(form, '[Ѐ-ӿ]')) as cy, len(regexp_extract_all(form, '[A-Za-z]')) as la from n where length(form) between 2 and 40 and regexp_full_match(form, '[\\p{{L}}]+')) select form, sources, occurrences, case when ar > cy and ar > la then 'arabic' when cy > 2 * la then 'cyrillic' when la > 2 * cy then 'latin' when cy > 0 or la > 0 then 'mixed' else 'unknown' end as script, case when sources >= 5 then 'high' when sources >= 3 then 'medium' else 'low' end as confidence, case when cy = 0 then 'none' when contains(form, 'ӏ') then 'palochka' when regexp_matches(form, 'къ|кь|гъ|гь|хъ|хь') then 'digraph' else 'plain' end as marker from c")
+def f28_profiles(spark, d):
+    """Publishable forms: letters only, 2 to 40, of two sources or more; their script, confidence by sources, and what their spelling shows."""
+    f = S.word_forms(t(spark, d, "documents")).where(F.length("form").between(2, 40) & F.col("form").rlike(r"^\p{L}+$"))
+    marker = F.when(~F.col("form").rlike(r"[\x{0400}-\x{04FF}]"), "none").when(F.contains("form", F.lit("ӏ")), "palochka").when(F.col("form").rlike("къ|кь|гъ|гь|хъ|хь"), "digraph").otherwise("plain")
+    return f.select("form", "sources", "occurrences", "script", "confidence", marker.alias("marker"))
+
+
 @query("A6_object_sets", "select source_id, string_agg(distinct coalesce(genre, '-') || ':' || coalesce(script, '-'), '|' order by coalesce(genre, '-') || ':' || coalesce(script, '-')) as objects from corpus_documents group by 1")
 def a6_sets(spark, d):
     """The distinct objects themselves, in order; their number is bounded by the genres and scripts there are."""

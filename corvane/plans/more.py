@@ -130,7 +130,7 @@ def f33(spark, d):
     return t(spark, d, "parallel_pairs").where("source_provenance is not null").select("id", "source_provenance", F.try_to_number(n, F.lit("999999999")).cast("long").alias("page"))
 
 
-@query("E5_headwords")
+@query("E5_headwords", r"select id, trim(regexp_replace(title, '\s*(?:[0-9]+|\(?[IVX]+\)?)\s*$', '')) as word, coalesce(case when length(regexp_extract(title, '([0-9]+)\s*$', 1)) between 1 and 3 then regexp_extract(title, '([0-9]+)\s*$', 1)::int end, nullif(list_position(['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'], regexp_extract(title, '\(?([IVX]+)\)?\s*$', 1)), 0)) as homonym from corpus_documents where title is not null")
 def e5(spark, d):
     word, number = L.headword(F.col("title"))
     return t(spark, d, "corpus_documents").where("title is not null").select("id", word.alias("word"), number.alias("homonym"))
@@ -152,7 +152,7 @@ def e10(spark, d):
     return _task_examples(q.join(w, "form"))
 
 
-@query("E10_task_examples_whole")
+@query("E10_task_examples_whole", f"with l as (select distinct id, ' ' || array_to_string({WORDS.format('text_normalized')}, ' ') || ' ' as line from segments where id is not null), q as (select id as task_id, {WORDS.format('lak_text')} as w, priority from gold_set where lak_text <> ''), f as (select distinct task_id, priority, id from q join l on contains(line, ' ' || array_to_string(w, ' ') || ' ') where len(w) > 0), m as (select *, row_number() over (partition by task_id order by id) as n, count(*) over (partition by task_id) as total from f) select task_id, array_to_string(list(id order by id), '|') as examples, max(least(100, greatest(1, floor(priority * 6 + log10(total + 1) * 10 + 0.5)))::bigint) as score from m where n <= 3 group by 1")
 def e10_whole(spark, d):
     """Examples also of the tasks whose text is of several words: segments that hold those words in a row."""
     q = t(spark, d, "gold_set").where("lak_text <> ''").select(F.col("id").alias("task_id"), F.lower("lak_text").alias("form"), "priority")
