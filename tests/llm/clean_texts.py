@@ -64,7 +64,7 @@ naïveté, coöperate, reëlect, façade, Chloë, Noël
 """.strip().split("\n")
 FRAMES = ("{}", "{}.", "He said: {} and then left", "Старый мельник сказал: {}, и ушёл")
 TEXTS = [f.format(t) for t in OTHERS for f in FRAMES]
-#: Written after the models' parameters were settled, so they tell more.
+#: Written after the first set's parameters; two more floors were raised with these in view.
 HELD_OUT = """
 Mötley Crüe, Björk and Beyoncé sang “Für Elise” in Besançon
 Ce n’était pas très élégant, mais la forêt brûlait là-bas
