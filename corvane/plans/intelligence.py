@@ -6,6 +6,7 @@ from pyspark.sql import functions as F, Window as W
 
 from corvane.functions import text as X
 from corvane.operators import profiles as P, relational as R, search as S
+from corvane.operators.shared import ranked, shared_words
 from corvane.plans.registry import query
 from corvane.session import ship, stage, table as t
 
@@ -121,12 +122,22 @@ def evidence(spark, d):
     return q.join(p, "w").groupBy("task_id", "n", "pair_id").agg(F.count("*").alias("hits")).select("task_id", "pair_id", "hits", (F.col("hits") + F.when(F.col("hits") == F.col("n"), 3).otherwise(0)).alias("score"))
 
 
+def retrieved(spark, d, pairs=None, **how):
+    """Pairs whose Russian side shares words with a task's prompt, see `shared_words`; 3 for the whole prompt, 1 a word.
+
+    pairs: (id, text, kind) where not all pairs are listed alike.
+    """
+    q = t(spark, d, "gold_set").select("id", F.col("prompt_ru").alias("text"))
+    p = t(spark, d, "parallel_pairs").select("id", F.col("ru_text").alias("text"), F.lit(1).alias("kind")) if pairs is None else pairs
+    return shared_words(q, p, whole=3, **how)
+
+
 EVIDENCE_SQL = "with q as (select id as task_id, len(k) as n, unnest(k) as w from (select id, list_distinct(list_filter(regexp_split_to_array(lower(prompt_ru), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as k from gold_set)), p as (select id as pair_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(ru_text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) as w from parallel_pairs), e as (select task_id, pair_id, count(*) as hits, count(*) + case when count(*) = max(n) then 3 else 0 end as score from q join p using (w) group by 1, 2)"
 
 
 @query("B1_evidence_retrieval", EVIDENCE_SQL + " select task_id, pair_id, hits, score, rank from (select *, row_number() over (partition by task_id order by score desc, pair_id) as rank from e) where rank <= 4")
 def b1(spark, d):
-    return R.top_each(evidence(spark, d), ["task_id"], [F.desc("score"), F.col("pair_id")], 4)
+    return ranked(retrieved(spark, d, most=4)).withColumnsRenamed({"query": "task_id", "id": "pair_id"})
 
 
 @query("B8_evidence_classes", EVIDENCE_SQL + ", g as (select task_id, max(score) as best, count(*) as n from e group by 1) select id as task_id, coalesce(n, 0) as n, case when best is null then 'no_evidence' when best >= 5 then 'exact' when best >= 4 then 'supported' else 'usage' end as class, best is null or best < 4 as abstain from gold_set left join g on g.task_id = id")
