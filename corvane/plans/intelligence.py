@@ -142,7 +142,7 @@ def b1(spark, d):
 
 @query("B8_evidence_classes", EVIDENCE_SQL + ", g as (select task_id, max(score) as best, count(*) as n from e group by 1) select id as task_id, coalesce(n, 0) as n, case when best is null then 'no_evidence' when best >= 5 then 'exact' when best >= 4 then 'supported' else 'usage' end as class, best is null or best < 4 as abstain from gold_set left join g on g.task_id = id")
 def b8(spark, d):
-    g = evidence(spark, d).groupBy("task_id").agg(F.max("score").alias("best"), F.count("*").alias("n"))
+    g = retrieved(spark, d).select(F.col("id").alias("task_id"), "best", "n")
     all_ = t(spark, d, "gold_set").select(F.col("id").alias("task_id")).join(g, "task_id", "left")
     b = F.col("best")
     return all_.select("task_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(b.isNull(), "no_evidence").when(b >= 5, "exact").when(b >= 4, "supported").otherwise("usage").alias("class"), (b.isNull() | (b < 4)).alias("abstain"))
