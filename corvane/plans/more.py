@@ -6,8 +6,9 @@ from pyspark.sql import functions as F, Window as W
 
 from corvane.functions import text as X
 from corvane.operators import lexicon as L, profiles as P, relational as R, search as S
+from corvane.operators.shared import ranked
 from corvane.plans.exchange import lexicon
-from corvane.plans.intelligence import EVIDENCE_SQL, evidence
+from corvane.plans.intelligence import EVIDENCE_SQL, evidence, retrieved
 from corvane.plans.registry import query
 from corvane.plans.texts import records
 from corvane.session import scratch, table as t
@@ -96,9 +97,10 @@ def l7(spark, d):
 
 @query("L8_evidence_order", EVIDENCE_SQL + ", r as (select e.*, p.provenance = 'human' as human, row_number() over (partition by task_id order by coalesce(p.provenance = 'human', false) desc, score desc, pair_id) as place from e join parallel_pairs p on p.id = e.pair_id) select task_id, pair_id, place from r where place <= 3")
 def l8(spark, d):
-    p = t(spark, d, "parallel_pairs").select(F.col("id").alias("pair_id"), F.coalesce(F.col("provenance") == "human", F.lit(False)).alias("human"))
-    e = evidence(spark, d).join(p, "pair_id")
-    return R.top_each(e, ["task_id"], [F.desc("human"), F.desc("score"), F.col("pair_id")], 3).select("task_id", "pair_id", F.col("rank").alias("place"))
+    """Pairs of human origin first; a pair with repeated rows is listed for each."""
+    kind = F.when(F.col("provenance") == "human", 1).otherwise(2)
+    p = t(spark, d, "parallel_pairs").where("id is not null").select("id", F.col("ru_text").alias("text"), kind.alias("kind"))
+    return ranked(retrieved(spark, d, p, most=3, each=True)).select(F.col("query").alias("task_id"), F.col("id").alias("pair_id"), F.col("rank").alias("place"))
 
 
 @query("F5_record_tier")
