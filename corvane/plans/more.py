@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, Window as W
 
 from corvane.functions import text as X
 from corvane.operators import lexicon as L, profiles as P, relational as R, search as S
-from corvane.operators.shared import ranked
+from corvane.operators.shared import ranked, shared_words
 from corvane.plans.exchange import lexicon
 from corvane.plans.intelligence import EVIDENCE_SQL, evidence, retrieved
 from corvane.plans.registry import query
@@ -206,10 +206,9 @@ def q16(spark, d):
 
 @query("B2_reverse_retrieval", f"with q as (select id as task_id, unnest(list_distinct({WORDS.format('lak_text')})) as w from gold_set), p as (select id as pair_id, unnest(list_distinct({WORDS.format('lak_text')})) as w from parallel_pairs), e as (select task_id, pair_id, count(*) as hits from q join p using (w) group by 1, 2) select task_id, pair_id, hits, n from (select *, row_number() over (partition by task_id order by hits desc, pair_id) as n from e) where n <= 4")
 def b2(spark, d):
-    q = t(spark, d, "gold_set").select(F.col("id").alias("task_id"), F.explode(F.array_distinct(_words("lak_text"))).alias("w"))
-    p = t(spark, d, "parallel_pairs").select(F.col("id").alias("pair_id"), F.explode(F.array_distinct(_words("lak_text"))).alias("w"))
-    e = q.join(p, "w").groupBy("task_id", "pair_id").agg(F.count("*").alias("hits"))
-    return R.top_each(e, ["task_id"], [F.desc("hits"), F.col("pair_id")], 4).select("task_id", "pair_id", "hits", F.col("rank").alias("n"))
+    q = t(spark, d, "gold_set").select("id", F.col("lak_text").alias("text"))
+    p = t(spark, d, "parallel_pairs").select("id", F.col("lak_text").alias("text"), F.lit(1).alias("kind"))
+    return ranked(shared_words(q, p, most=4)).select(F.col("query").alias("task_id"), F.col("id").alias("pair_id"), "hits", F.col("rank").alias("n"))
 
 
 @query("B4_evidence_isolation", "with h as (select distinct lower(trim(x)) as k from (select lak_text as x from parallel_pairs where split = 'test' union all select ru_text from parallel_pairs where split = 'test') where x <> '') select id from segments where text_original is not null and not exists (select 1 from h where k = lower(trim(text_original)))")
