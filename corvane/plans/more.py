@@ -219,10 +219,11 @@ def b4(spark, d):
 
 @query("B9_coverage", EVIDENCE_SQL + " select id as task_id, count(e.pair_id) as evidence, count(e.pair_id) filter (where score >= 4) as strong, min(e.pair_id) filter (where score >= 4) as suggested from gold_set left join e on e.task_id = id group by 1")
 def b9(spark, d):
-    strong = F.col("score") >= 4
-    e = evidence(spark, d).groupBy("task_id").agg(F.count("*").alias("evidence"), F.count_if(strong).alias("strong"), F.min(F.when(strong, F.col("pair_id"))).alias("suggested"))
-    zero = F.lit(0)
-    return t(spark, d, "gold_set").select(F.col("id").alias("task_id")).join(e, "task_id", "left").select("task_id", F.coalesce("evidence", zero).alias("evidence"), F.coalesce("strong", zero).alias("strong"), "suggested")
+    p = t(spark, d, "parallel_pairs").where("id is not null").select("id", F.col("ru_text").alias("text"), F.lit(1).alias("kind"))
+    e = retrieved(spark, d, p).select(F.col("id").alias("task_id"), F.col("n").alias("evidence"), "strong", F.col("first").alias("suggested"))
+    tasks = t(spark, d, "gold_set").groupBy(F.col("id").alias("task_id")).agg(F.count("*").alias("rows"))
+    times = lambda c: F.coalesce(F.col(c) * F.col("rows"), F.lit(0)).alias(c)
+    return tasks.join(e, "task_id", "left").select("task_id", times("evidence"), times("strong"), "suggested")
 
 
 @query("B12_queue_counts", "select p.id, count(a.id) as rows, count(distinct a.adjudicator_id) as people, count(*) filter (where a.decision = 'reject') as rejected from parallel_pairs p left join pair_adjudications a on a.pair_id = p.id group by 1")
