@@ -111,17 +111,6 @@ def a21(spark, d):
 PROMPT_SQL = "select id, list_filter(regexp_split_to_array(lower(prompt_ru), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as k from gold_set"
 
 
-def evidence(spark, d):
-    """(task_id, pair_id, hits, score): pairs whose Russian side shares words with a task's prompt; 3 for the whole prompt, 1 a word.
-
-    The join runs on words, so a text is never compared with a prompt it shares none with.
-    """
-    w = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
-    q = t(spark, d, "gold_set").select(F.col("id").alias("task_id"), w("prompt_ru").alias("k"), F.size(w("prompt_ru")).alias("n")).select("task_id", "n", F.explode("k").alias("w"))
-    p = t(spark, d, "parallel_pairs").select(F.col("id").alias("pair_id"), F.explode(w("ru_text")).alias("w"))
-    return q.join(p, "w").groupBy("task_id", "n", "pair_id").agg(F.count("*").alias("hits")).select("task_id", "pair_id", "hits", (F.col("hits") + F.when(F.col("hits") == F.col("n"), 3).otherwise(0)).alias("score"))
-
-
 def retrieved(spark, d, pairs=None, **how):
     """Pairs whose Russian side shares words with a task's prompt, see `shared_words`; 3 for the whole prompt, 1 a word.
 

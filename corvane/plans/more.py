@@ -8,7 +8,7 @@ from corvane.functions import text as X
 from corvane.operators import lexicon as L, profiles as P, relational as R, search as S
 from corvane.operators.shared import ranked, shared_words
 from corvane.plans.exchange import lexicon
-from corvane.plans.intelligence import EVIDENCE_SQL, evidence, retrieved
+from corvane.plans.intelligence import EVIDENCE_SQL, retrieved
 from corvane.plans.registry import query
 from corvane.plans.texts import records
 from corvane.session import scratch, table as t
@@ -192,11 +192,12 @@ def q12(spark, d):
 @query("Q15_evidence_bundles", EVIDENCE_SQL + ", h as (select distinct lower(lak_text) as k from parallel_pairs where split = 'test' and lak_text <> ''), o as (select e.* from e join parallel_pairs p on p.id = e.pair_id where not exists (select 1 from h where k = lower(p.lak_text))), r as (select *, row_number() over (partition by task_id order by score desc, pair_id) as n from o) select task_id, count(*) as shown, max(score) as best, case when max(score) >= 5 then 'high' when max(score) >= 4 then 'medium' else 'low' end as confidence from r where n <= 4 group by 1")
 def q15(spark, d):
     """Evidence of a task without held-out answers, the four best, and how sure they make it."""
-    p = t(spark, d, "parallel_pairs").select(F.col("id").alias("pair_id"), "split", F.lower("lak_text").alias("k"))
-    held = p.where("split = 'test' and k <> ''").select("k").distinct()
-    top = R.top_each(evidence(spark, d).join(p.join(held, "k", "left_anti"), "pair_id"), ["task_id"], [F.desc("score"), F.col("pair_id")], 4)
-    best = F.max("score")
-    return top.groupBy("task_id").agg(F.count("*").alias("shown"), best.alias("best"), F.when(best >= 5, "high").when(best >= 4, "medium").otherwise("low").alias("confidence"))
+    p = t(spark, d, "parallel_pairs").where("id is not null").select("id", F.col("ru_text").alias("text"), "split", F.lower("lak_text").alias("k"))
+    held = p.where("split = 'test' and k <> ''").select("k", F.lit(0).alias("held")).distinct()
+    open_ = p.join(held, "k", "left").select("id", "text", F.coalesce("held", F.lit(1)).alias("kind"))
+    best = F.col("top")[0]["score"]
+    top = retrieved(spark, d, open_, most=4, each=True).where(F.size("top") > 0)
+    return top.select(F.col("id").alias("task_id"), F.size("top").cast("long").alias("shown"), best.alias("best"), F.when(best >= 5, "high").when(best >= 4, "medium").otherwise("low").alias("confidence"))
 
 
 @query("Q16_contributor_overview", "select contributor_id, count(*) as votes, count(distinct task_id) as tasks, count(distinct created_at::date) as days, floor(avg(time_to_vote_ms) + 0.5)::bigint as mean_ms from validation_votes group by 1")

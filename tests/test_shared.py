@@ -11,7 +11,7 @@ import pytest
 from corvane.operators import shared
 from corvane.plans.registry import ORACLE, QUERIES
 
-NAMES = ["B1_evidence_retrieval", "B8_evidence_classes", "L8_evidence_order", "B2_reverse_retrieval", "B9_coverage"]
+NAMES = ["B1_evidence_retrieval", "B8_evidence_classes", "L8_evidence_order", "B2_reverse_retrieval", "B9_coverage", "Q15_evidence_bundles"]
 GOLD = pa.schema([("id", pa.string()), ("prompt_ru", pa.string()), ("lak_text", pa.string())])
 PAIRS = pa.schema([("id", pa.string()), ("ru_text", pa.string()), ("lak_text", pa.string()), ("provenance", pa.string()), ("split", pa.string())])
 
